@@ -36,7 +36,7 @@ REACH = WINDOW - GRAM + 1
 #: Selected places per byte of text, about.
 DENSITY = 2 / (REACH + 1)
 LEAD = 16
-BUCKET_SUFFIXES = 1 << 16
+BUCKET_SUFFIXES = 1 << 14
 #: Ranges at most, and leading strings sampled at most; beyond, a range's suffixes are dealt by a hash of their lead.
 RANGES, SAMPLE = 1 << 13, 1 << 17
 SUFFIXES = "bucket int, block_id long, bytes binary, shape binary, ids binary"
@@ -126,8 +126,7 @@ def _noted(block: B.Block) -> tuple[np.ndarray, Places]:
 
 def leads(block: B.Block, at: np.ndarray) -> np.ndarray:
     """The LEAD bytes from each place, as two big-endian numbers; a selected place has GRAM bytes after it."""
-    raw = block.data[at[:, None] + np.arange(LEAD)] if len(at) else np.zeros((0, LEAD), np.uint8)
-    return np.ascontiguousarray(raw).view(">u8").astype(U64)
+    return as_characters(block.data, at, np.full(len(at), LEAD), LEAD)
 
 
 def _sample_leads(n_blocks: int):
@@ -222,9 +221,9 @@ def multikey_runs(characters: np.ndarray) -> np.ndarray:
 def as_characters(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
     """The bytes from ``starts`` on as big-endian uint64 characters, zero beyond ``sizes``; width in bytes."""
     wide = -(-width // 8) * 8
-    place = np.arange(wide)
-    out = raw[np.minimum(starts[:, None] + place, max(len(raw) - 1, 0))]
-    out[place >= sizes[:, None]] = 0
+    padded = np.concatenate([raw, np.zeros(wide, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, wide)[starts]
+    out[np.arange(wide) >= sizes[:, None]] = 0
     return out.view(">u8").astype(U64)
 
 
