@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import exact_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from frameloom.llm import decontaminate, exact_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +27,27 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(documents(spark, sf_dir))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_sequences(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL = {
@@ -52,5 +68,16 @@ o AS (SELECT d.doc_id, ws, coalesce(ps, []) AS ps FROM d LEFT JOIN r USING (doc_
 SELECT doc_id, len(ws) AS n_words, len(ps) AS n_removed,
        sha256(array_to_string([ws[x] FOR x IN range(1, len(ws) + 1) IF NOT list_contains(ps, x)], ' ')) AS kept_sha256
 FROM o
+""",
+    "op10_decontaminate": r"""
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+s AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS s
+      FROM (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_item,
+       count(*)::DOUBLE / any_value(n.n) AS containment
+FROM s d JOIN s i ON d.kind = 0 AND i.kind = 1 AND d.s = i.s JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n)
 """,
 }
