@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, exact_dedup, minhash_dedup, packing, substring_dedup, suffix_dedup
+from frameloom.llm import decontaminate, exact_dedup, language_id, minhash_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +42,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = language_id.fold(F.col("doc_id"), 4) == 2
+    found = language_id.identify(docs, language_id.learn(docs.filter(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "langs")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = language_id.fold(F.col("doc_id"), 3) == 1
+    found = quality.score(docs, quality.learn(docs, labels.filter(~held)))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality": op8_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
