@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, exact_dedup, language_id, minhash_dedup, packing, quality, substring_dedup, suffix_dedup
+from frameloom.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, substring_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +56,24 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("places")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality": op8_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
@@ -86,6 +96,8 @@ SELECT doc_id, len(ws) AS n_words, len(ps) AS n_removed,
        sha256(array_to_string([ws[x] FOR x IN range(1, len(ws) + 1) IF NOT list_contains(ps, x)], ' ')) AS kept_sha256
 FROM o
 """,
+    "op5_license_scan": license_scan.scan_sql(),
+    "op9_line_dedup": line_dedup.SQL,
     "op10_decontaminate": r"""
 WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
 w AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
