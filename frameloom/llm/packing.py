@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,53 +29,97 @@ from frameloom.llm.storage import Scratch, text_column
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Parts into which the pieces of one length are ranked; a hot length is spread over so many tasks.
-PARTS = 256
-CACHE_WORDS = 200_000
+PARTS = 64
+CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 # How the tokenizer's vocabulary splits lower-cased text, for characters of plain Latin texts.
 _PLAIN = re.compile("[\t-\r -~¡«»¿-ÖØ-öø-ÿ]*")
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\\sa-z0-9À-ÖØ-öø-ÿ]+")
+_SPLIT = re.compile("[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-z0-9À-ÖØ-öø-ÿ]+")
+_END = "\0"  # stands for the separator among the words
+
+
+class _Index(dict):
+    """Words numbered as they are first met; ``fresh`` lists those without ids."""
+
+    def __init__(self, words=()):
+        super().__init__(words)
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
 
 
 class Encoder:
-    """Token ids of texts, equal to the tokenizer's own."""
+    """Token ids of texts, equal to the tokenizer's own.
+
+    Words met before are kept with their ids, up to CACHE_WORDS; beyond, those least recently used go.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         vocabulary = self.whole.get_vocab(with_added_tokens=True)
-        self.ends = {i for word, i in vocabulary.items() if word.endswith("</w>")}
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        words = sorted(words)
-        held: list[int] = []
-        at = 0
-        for i in self.whole.encode(" ".join(words), add_special_tokens=False).ids:
-            held.append(i)
-            if i in self.ends:
-                self.cache[words[at]] = tuple(held)
-                held, at = [], at + 1
-        if at != len(words) or held:
-            raise ValueError("the tokenizer does not end each word with a </w> token")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.index = _Index({_END: 0})
+        self.ids, self.sizes = np.array([SEPARATOR], dtype="<u4"), np.array([1])
+        self.used, self.turn = np.zeros(1, dtype=np.int64), 0
+
+    def _learn(self) -> None:
+        words, self.index.fresh = self.index.fresh, []
+        if not words:
+            return
+        ids = np.array(self.whole.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words) or last[-1] + 1 != len(ids):
+            raise ValueError("the tokenizer does not end each word with one </w> token")
+        self.ids = np.concatenate([self.ids, ids])
+        self.sizes = np.concatenate([self.sizes, np.diff(last, prepend=-1)])
+        self.used = np.concatenate([self.used, np.full(len(words), self.turn)])
+
+    def _forget(self) -> None:
+        if len(self.sizes) <= CACHE_WORDS:
+            return
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2])
+        keep = keep if keep[0] == 0 else np.concatenate([[0], keep])  # the separator stays number 0
+        words = list(self.index)
+        self.index = _Index((words[k], n) for n, k in enumerate(keep.tolist()))
+        self.ids = self._gather(keep)
+        self.sizes, self.used = self.sizes[keep], self.used[keep]
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        begin, size = np.cumsum(self.sizes) - self.sizes, self.sizes[codes]
+        at = np.repeat(begin[codes] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return self.ids[at]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        words = [_SPLIT.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        missing = set(chain.from_iterable(words)) - self.cache.keys()
-        if missing:
-            self._learn(missing)
-            if gone := set(chain.from_iterable(words)) - self.cache.keys():  # the cache was emptied
-                self._learn(gone)
-        get = self.cache.__getitem__
-        out = []
-        for text, ok, own in zip(texts, plain, words, strict=True):
-            ids = chain.from_iterable(map(get, own)) if ok else self.whole.encode(text, add_special_tokens=False).ids
-            out.append(np.fromiter(chain(ids, (SEPARATOR,)), dtype="<u4"))
+        """The ids of each text, and the separator."""
+        self._forget()
+        self.turn += 1
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t]
+        words: list[str] = []
+        counts = []
+        for k in plain:
+            before = len(words)
+            words += _SPLIT.findall(texts[k].lower())
+            words.append(_END)
+            counts.append(len(words) - before)
+        codes = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self._learn()
+        self.used[codes] = self.turn
+        bounds = np.concatenate([[0], np.cumsum(self.sizes[codes])])[np.concatenate([[0], np.cumsum(counts, dtype=int)])]
+        ids = self._gather(codes)
+        out: list = [None] * len(texts)
+        for k, i, j in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            out[k] = ids[i:j]
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                out[k] = np.array([*self.whole.encode(text, add_special_tokens=False).ids, SEPARATOR], dtype="<u4")
         return out
 
 
@@ -198,7 +241,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     # at most PARTS rows for each of the ``capacity`` lengths
     base = sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = ranked.withColumn("nth", nth).join(F.broadcast(base), ["length", "part"])
+    ranked = ranked.withColumn("nth", nth).join(base, ["length", "part"])
     names = [c.split()[0] for c in (PIECES + extra).split(", ")]
     ranked = ranked.select(*names, (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_place(table), PIECES + extra + ", sequence_id long, offset long")
