@@ -5,25 +5,34 @@ Input rows: feed_id, track_id, seq, ts_ns, x, y, state, epoch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TRACK = ("feed_id", "track_id")
 SEGMENT = (*TRACK, "segment")
 STATIONARY, STILL = 0.005, 1e-6  # speed and net displacement below which a segment stands still or has no direction
 MAX_OBSERVATIONS, MAX_POINTS = 100, 1000
-BY_TRACK = Window.partitionBy(*TRACK).orderBy("seq")
-SO_FAR = BY_TRACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = BY_TRACK.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def by_track() -> WindowSpec:
+    return Window.partitionBy(*TRACK).orderBy("seq")
+
+
+def so_far() -> WindowSpec:
+    return by_track().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def before() -> WindowSpec:
+    return by_track().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def segmented(points: DataFrame) -> DataFrame:
     """Points with their segment: one begins with the track and at each change of epoch; after the first Lost, whose
     point still counts, a track gets no more points."""
-    lost = F.max((F.col("state") == "Lost").cast("int")).over(BEFORE)
+    lost = F.max((F.col("state") == "Lost").cast("int")).over(before())
     rows = points.withColumn("gone", F.coalesce(lost, F.lit(0))).filter("gone = 0").drop("gone")
-    fresh = F.coalesce(F.col("epoch") != F.lag("epoch").over(BY_TRACK), F.lit(True))
-    return rows.withColumn("fresh", fresh.cast("long")).withColumn("segment", F.sum("fresh").over(SO_FAR)).drop("fresh")
+    fresh = F.coalesce(F.col("epoch") != F.lag("epoch").over(by_track()), F.lit(True))
+    return rows.withColumn("fresh", fresh.cast("long")).withColumn("segment", F.sum("fresh").over(so_far())).drop("fresh")
 
 
 def bounds(rows: DataFrame) -> DataFrame:
@@ -31,12 +40,12 @@ def bounds(rows: DataFrame) -> DataFrame:
     last = F.max_by("state", "seq")
     segs = rows.groupBy(*SEGMENT).agg(F.min("epoch").alias("epoch"), last.alias("last_state"))
     by_segment = Window.partitionBy(*TRACK).orderBy("segment")
-    before, after = F.lag("epoch").over(by_segment), F.lead("epoch").over(by_segment)
+    previous, after = F.lag("epoch").over(by_segment), F.lead("epoch").over(by_segment)
     change = lambda a, b: F.concat(F.lit("EpochChange:"), a.cast("string"), F.lit(">"), b.cast("string"))
     return segs.select(
         *SEGMENT,
         "epoch",
-        F.coalesce(change(before, F.col("epoch")), F.lit("TrackCreated")).alias("opened_by"),
+        F.coalesce(change(previous, F.col("epoch")), F.lit("TrackCreated")).alias("opened_by"),
         F.coalesce(change(F.col("epoch"), after), F.when(F.col("last_state") == "Lost", "TrackLost")).alias("closed_by"),
     )
 

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from frameloom.functions.geometry import angular_delta
 from frameloom.operators.folds import fold_rows
 
-BY_SEQ = Window.partitionBy("feed_id").orderBy("seq")
-SO_FAR = BY_SEQ.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_seq() -> WindowSpec:
+    return Window.partitionBy("feed_id").orderBy("seq")
+
+
+def so_far() -> WindowSpec:
+    return by_seq().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 @dataclass(frozen=True)
@@ -67,7 +72,7 @@ def motion_state() -> Column:
 
 def decided(reports: DataFrame, policy: EpochPolicy | None = None) -> DataFrame:
     """``reports`` with source, motion, decision and reason; the report before counts even if it has no telemetry."""
-    before = {f"before_{c}": F.lag(c).over(BY_SEQ) for c in ("pan", "tilt", "zoom")}
+    before = {f"before_{c}": F.lag(c).over(by_seq()) for c in ("pan", "tilt", "zoom")}
     rows = reports.withColumns(before | {"source": motion_source(), "motion": motion_state()})
     rows = rows.withColumn("outcome", (policy or EpochPolicy()).decide())
     return rows.withColumns({"decision": F.col("outcome.decision"), "reason": F.col("outcome.reason")}).drop("outcome", *before)
@@ -75,7 +80,7 @@ def decided(reports: DataFrame, policy: EpochPolicy | None = None) -> DataFrame:
 
 def phase() -> Column:
     moving = F.col("motion") != "Stable"
-    before = F.lag(moving | (F.col("decision") == "Segment"), 1, False).over(BY_SEQ)
+    before = F.lag(moving | (F.col("decision") == "Segment"), 1, False).over(by_seq())
     return (
         F.when(F.col("decision") == "Segment", "MoveStart")
         .when(moving & before, "Moving")
@@ -86,11 +91,11 @@ def phase() -> Column:
 
 
 def epoch(initial: int = 0) -> Column:
-    return initial + F.sum((F.col("decision") == "Segment").cast("long")).over(SO_FAR)
+    return initial + F.sum((F.col("decision") == "Segment").cast("long")).over(so_far())
 
 
 def version() -> Column:
-    return F.row_number().over(BY_SEQ).cast("long")
+    return F.row_number().over(by_seq()).cast("long")
 
 
 def validity() -> Column:
@@ -98,7 +103,7 @@ def validity() -> Column:
     worse = F.col("decision").isin("Degrade", "Compensate")
     valid = (F.col("decision") == "Segment") | (F.col("motion") == "Stable")
     now = F.when(worse, F.concat(F.lit("Degraded:"), F.col("reason"))).when(valid, F.lit("Valid"))
-    return F.coalesce(F.last(now, ignorenulls=True).over(SO_FAR), F.lit("Degraded:Unknown"))
+    return F.coalesce(F.last(now, ignorenulls=True).over(so_far()), F.lit("Degraded:Unknown"))
 
 
 def stability_steps() -> dict[str, Column]:
@@ -125,8 +130,8 @@ def stability(rows: DataFrame, initial: float = 0.0) -> DataFrame:
 
 def since_change() -> Column:
     """Nanoseconds since the kind of motion last changed."""
-    changed = F.coalesce(F.col("motion") != F.lag("motion").over(BY_SEQ), F.lit(True))
-    return F.col("ts_ns") - F.last(F.when(changed, F.col("ts_ns")), ignorenulls=True).over(SO_FAR)
+    changed = F.coalesce(F.col("motion") != F.lag("motion").over(by_seq()), F.lit(True))
+    return F.col("ts_ns") - F.last(F.when(changed, F.col("ts_ns")), ignorenulls=True).over(so_far())
 
 
 def fixed_view(frames: DataFrame) -> DataFrame:

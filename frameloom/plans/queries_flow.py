@@ -1 +1,275 @@
-"""Queries."""
+"""Queries of flow, metrics, pipelines and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from frameloom.operators import flow, metrics, view
+from frameloom.plans import pipeline
+from frameloom.plans.queries_frames import PHASE, VIEW
+from frameloom.plans.queries_scalar import r6
+from frameloom.registry import query
+
+NOW_NS = 1_800_000_000_000_000_000  # the wall clock of replayed lag checks
+
+
+@query("flt_frame_lag", "SELECT event_id, age_ns FROM (SELECT event_id, epoch_us(ts) * 1000 AS w, epoch_us(ts) * 1000 + cast(floor(value * 50000000) AS bigint) - epoch_us(ts) * 1000 AS age_ns FROM events) WHERE w > 0 AND age_ns >= 2000000000")
+def flt_frame_lag(t):
+    wall = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    rows = t.events.select("event_id", wall.alias("wall_ns"), (wall + F.floor(F.col("value") * 50_000_000)).alias("now_ns"))
+    age = F.col("now_ns") - F.col("wall_ns")
+    return rows.filter((F.col("wall_ns") > 0) & (age >= flow.LAG_NS)).select("event_id", age.alias("age_ns"))
+
+
+@query("win_frame_age", f"SELECT feed_id, seq, CASE WHEN seq % 7 <> 0 AND {NOW_NS} - ts_ns > 0 THEN {NOW_NS} - ts_ns END AS age_ns FROM observations")
+def win_frame_age(t):
+    wall = F.when(F.col("seq") % 7 != 0, F.col("ts_ns"))  # null stands for a frame without a wall clock
+    return t.observations.select("feed_id", "seq", F.when(F.lit(NOW_NS) - wall > 0, F.lit(NOW_NS) - wall).alias("age_ns"))
+
+
+@query("win_sample", "SELECT feed_id, seq FROM (SELECT feed_id, seq, row_number() OVER (PARTITION BY feed_id ORDER BY seq) % 6 = 0 AS keep FROM reports) WHERE keep")
+def win_sample(t):
+    return t.reports.withColumn("keep", flow.sampled(6)).filter("keep").select("feed_id", "seq")
+
+
+FPS = "f AS (SELECT feed_id, CASE WHEN count(*) >= 30 THEN (count(*) - 1) / ((max(ts_ns) - min(ts_ns)) / 1e9) END AS fps FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY seq) AS nth FROM reports) WHERE nth <= 30 GROUP BY feed_id)"
+
+
+@query("agg_source_fps", f"WITH {FPS} SELECT feed_id, round(fps, 6) AS fps FROM f")
+def agg_source_fps(t):
+    return flow.source_fps(t.reports).select("feed_id", r6(F.col("fps"), "fps"))
+
+
+@query("win_target_fps", f"WITH {FPS}, k AS (SELECT r.feed_id, seq, row_number() OVER (PARTITION BY r.feed_id ORDER BY seq) AS nth, cast(CASE WHEN 5e0 >= fps THEN 1 ELSE floor(fps / 5e0 + 0.5e0) END AS bigint) AS interval FROM reports r JOIN f ON r.feed_id = f.feed_id) SELECT feed_id, seq, interval, CASE WHEN nth <= 30 THEN nth % 10 = 0 ELSE (nth - 30) % interval = 0 END AS included FROM k")
+def win_target_fps(t):
+    return flow.to_target_fps(t.reports, 5.0, 10).select("feed_id", "seq", "interval", "included")
+
+
+@query("agg_fps_ema", """WITH RECURSIVE l AS (SELECT feed_id, list(ts_ns ORDER BY seq) AS ts, list(seq ORDER BY seq) AS ss FROM observations GROUP BY feed_id),
+r(feed_id, k, v) AS (SELECT feed_id, cast(1 AS bigint), 0e0 FROM l UNION ALL SELECT l.feed_id, k + 1, CASE WHEN ts[k + 1] > ts[k] THEN CASE WHEN v = 0 THEN 1e9 / (ts[k + 1] - ts[k]) ELSE v + 0.05e0 * (1e9 / (ts[k + 1] - ts[k]) - v) END ELSE v END FROM r JOIN l ON r.feed_id = l.feed_id AND k < len(ts))
+SELECT r.feed_id, ss[k] AS seq, round(v, 6) AS fps FROM r JOIN l ON r.feed_id = l.feed_id""")
+def agg_fps_ema(t):
+    return flow.smoothed_fps(t.observations).select("feed_id", "seq", r6(F.col("fps"), "fps"))
+
+
+@query("strm_queue")
+def strm_queue(t):
+    return flow.queued(t.arrivals)
+
+
+@query("top_drop_oldest")
+def top_drop_oldest(t):
+    return flow.queued(t.arrivals, depth=2).filter("dropped").select("feed_id", "seq")
+
+
+@query("strm_batch_form", """WITH RECURSIVE l AS (SELECT feed_id, list(arrival_ns ORDER BY arrival_ns, seq) AS a, list(seq ORDER BY arrival_ns, seq) AS s FROM arrivals GROUP BY feed_id),
+r(feed_id, k, batch_id, place, deadline) AS (SELECT feed_id, cast(1 AS bigint), cast(0 AS bigint), cast(1 AS bigint), a[1] + 30000000000 FROM l UNION ALL
+ SELECT l.feed_id, k + 1, CASE WHEN place >= 4 OR a[k + 1] > deadline THEN batch_id + 1 ELSE batch_id END, CASE WHEN place >= 4 OR a[k + 1] > deadline THEN 1 ELSE place + 1 END, CASE WHEN place >= 4 OR a[k + 1] > deadline THEN a[k + 1] + 30000000000 ELSE deadline END FROM r JOIN l ON r.feed_id = l.feed_id AND k < len(a))
+SELECT r.feed_id, s[k] AS seq, batch_id, place FROM r JOIN l ON r.feed_id = l.feed_id""")
+def strm_batch_form(t):
+    return flow.batched(t.arrivals, 4, 30_000_000_000)
+
+
+@query("strm_batch_submit")
+def strm_batch_submit(t):
+    return flow.submitted(t.arrivals)
+
+
+@query("strm_batch_exec", "SELECT processor_id, CASE WHEN ok THEN 'routed' ELSE 'failed' END AS outcome, cast(sum(size) AS bigint) AS items FROM batch_dispatches GROUP BY ALL")
+def strm_batch_exec(t):
+    outcome = F.when(F.col("ok"), "routed").otherwise("failed")  # an error fails all items of its batch
+    return t.batch_dispatches.groupBy("processor_id", outcome.alias("outcome")).agg(F.sum("size").alias("items"))
+
+
+def overloads(t):
+    bad = F.col("kind").isin("BackpressureDrop", "SinkBackpressure", "FrameLag", "OutputLagged")
+    return t.health_events.select("feed_id", "ts_ns", "event_id", bad.alias("bad"), "delta")
+
+
+@query("strm_coalesce")
+def strm_coalesce(t):
+    return flow.coalesced(overloads(t))
+
+
+@query("strm_output_lag", """WITH s AS (SELECT feed_id, seq, 1 + seq % 3 AS sent, CASE WHEN seq % 40 < 25 THEN 1 ELSE 4 END AS drained FROM reports),
+l AS (SELECT feed_id, seq, cast(greatest(sum(sent - drained) OVER (PARTITION BY feed_id ORDER BY seq) - 8, 0) AS bigint) AS lost FROM s), b AS (SELECT *, coalesce(lag(lost) OVER (PARTITION BY feed_id ORDER BY seq), 0) AS before FROM l)
+SELECT feed_id, seq, lost, CASE WHEN lost > 0 AND before = 0 THEN 'began' WHEN lost = 0 AND before > 0 THEN 'ended' END AS transition FROM b""")
+def strm_output_lag(t):
+    rows = t.reports.select("feed_id", "seq", (1 + F.col("seq") % 3).alias("sent"), F.when(F.col("seq") % 40 < 25, 1).otherwise(4).cast("long").alias("drained"))
+    return flow.output_lag(rows, 8).select("feed_id", "seq", "lost", "transition")
+
+
+@query("strm_health", f"WITH {VIEW} SELECT feed_id, 'ViewEpochChanged' AS kind, count(*) AS n FROM v WHERE decision = 'Segment' GROUP BY ALL UNION ALL SELECT feed_id, kind, count(*) FROM health_events GROUP BY ALL")
+def strm_health(t):
+    changes = view.decided(t.reports).filter("decision = 'Segment'").select("feed_id", F.lit("ViewEpochChanged").alias("kind"))
+    count = lambda df: df.groupBy("feed_id", "kind").agg(F.count("*").alias("n"))
+    return count(changes).unionByName(count(t.health_events))
+
+
+@query("strm_windows", "SELECT event_type, epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS window_us, count(*) AS n FROM events GROUP BY ALL")
+def strm_windows(t):
+    g = t.events.groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return g.select("event_type", F.unix_micros("w.start").alias("window_us"), "n")
+
+
+@query("src_fsm")
+def src_fsm(t):
+    kinds = F.array(*map(F.lit, ("StreamStarted", "Error", "Warning", "Eos", "Pause", "Resume", "Timeout")))
+    rows = t.observations.select("feed_id", "ts_ns", "event_id", F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("kind"), (F.col("event_id") % 11 != 0).alias("loops"))
+    return flow.source_states(rows)
+
+
+@query("rt_restart", """WITH RECURSIVE x AS (SELECT feed_id, list({'s': seq, 'u': (k % 400) * 1000000000} ORDER BY seq) AS es FROM reports GROUP BY feed_id),
+r(feed_id, k, ok, c) AS (SELECT feed_id, cast(0 AS bigint), false, cast(0 AS bigint) FROM x UNION ALL SELECT x.feed_id, k + 1, es[k + 1].u >= 300000000000 OR c < 5, CASE WHEN es[k + 1].u >= 300000000000 THEN 1 WHEN c < 5 THEN c + 1 ELSE c END FROM r JOIN x ON r.feed_id = x.feed_id AND k < len(es))
+SELECT r.feed_id, es[k].s AS seq, ok AS restarted, c AS restarts FROM r JOIN x ON r.feed_id = x.feed_id WHERE k > 0""")
+def rt_restart(t):
+    exits = t.reports.select("feed_id", "seq", ((F.col("k") % 400) * 1_000_000_000).alias("uptime_ns"), F.lit("Stage").alias("fault"))
+    return flow.restarts(exits)
+
+
+EXITS = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Shutdown' WHEN 1 THEN 'Eos' WHEN 2 THEN 'StagePanic' WHEN 3 THEN 'SourceFailure' ELSE 'SinkLost' END AS ended FROM events)"
+
+
+@query("rt_stop_reason", f"SELECT event_id, CASE ended WHEN 'Shutdown' THEN 'UserRequested' WHEN 'Eos' THEN 'EndOfStream' WHEN 'SinkLost' THEN 'Fatal' ELSE 'RestartLimitExceeded' END AS reason FROM {EXITS}")
+def rt_stop_reason(t):
+    ended = F.element_at(F.array(*map(F.lit, ("Shutdown", "Eos", "StagePanic", "SourceFailure", "SinkLost"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", pipeline.stop_reason(ended).alias("reason"))
+
+
+@query("agg_counters", f"SELECT feed_id, kind, cast(sum(CASE WHEN kind IN {metrics.DELTA_KINDS} THEN delta ELSE 1 END) AS bigint) AS n FROM health_events WHERE kind NOT IN {metrics.UNCOUNTED_KINDS} GROUP BY ALL")
+def agg_counters(t):
+    return metrics.health_counters(t.health_events)
+
+
+BATCH = """WITH b AS (SELECT *, sum(cast(ok AS int)) OVER (PARTITION BY processor_id ORDER BY dispatch_id) AS run FROM batch_dispatches), c AS (SELECT *, run = max(run) OVER (PARTITION BY processor_id) AND NOT ok AS tail FROM b),
+g AS (SELECT processor_id, count(*) AS dispatched, cast(sum(size) AS bigint) AS items, cast(sum(rejected) AS bigint) AS rejected, min(size) AS min_size, max(size) AS max_size, count(*) FILTER (tail) AS consecutive_errors,
+sum(processing_ns)::DOUBLE AS p, sum(formation_ns)::DOUBLE AS f FROM c GROUP BY processor_id)
+"""
+
+
+@query("agg_batch_metrics", BATCH + "SELECT processor_id, dispatched, items, rejected, min_size, max_size, consecutive_errors, round(rejected / (items + rejected), 6) AS rejection_rate, round(items / dispatched, 6) AS avg_batch_size, round(items / (dispatched * 8), 6) AS avg_fill_ratio, round(p / dispatched, 3) AS avg_processing_ns, round(f / dispatched, 3) AS avg_formation_ns FROM g")
+def agg_batch_metrics(t):
+    m = metrics.batch_metrics(t.batch_dispatches, 8)
+    rates = [r6(F.col(c), c) for c in ("rejection_rate", "avg_batch_size", "avg_fill_ratio")]
+    return m.select("processor_id", "dispatched", "items", "rejected", "min_size", "max_size", "consecutive_errors", *rates, *[F.round(c, 3).alias(c) for c in ("avg_processing_ns", "avg_formation_ns")])
+
+
+@query("agg_gauges", BATCH + ", u AS (SELECT processor_id, dispatched::DOUBLE AS dispatched, items::DOUBLE AS items, rejected::DOUBLE AS rejected, round(p / dispatched / 1e6, 6) AS processing_ms FROM g) UNPIVOT u ON dispatched, items, rejected, processing_ms INTO NAME gauge VALUE value")
+def agg_gauges(t):
+    m = metrics.batch_metrics(t.batch_dispatches, 8).withColumn("processing_ms", F.round(F.col("avg_processing_ns") / 1e6, 6))
+    return metrics.gauges(m, ["processor_id"], ["dispatched", "items", "rejected", "processing_ms"])
+
+
+FRAMES = f"WITH {VIEW}, {PHASE}, fr AS (SELECT feed_id, seq, epoch, k % 50 = 0 AS dropped, k % 20 AS tracks FROM q)"
+
+
+def frames(t):
+    v = view.decided(t.reports)
+    return v.select("feed_id", "seq", view.epoch().alias("epoch"), (F.col("k") % 50 == 0).alias("dropped"), (F.col("k") % 20).alias("tracks"))
+
+
+@query("agg_feed_metrics", FRAMES + " SELECT feed_id, count(*) AS frames_received, count(*) FILTER (dropped) AS frames_dropped, count(*) FILTER (NOT dropped) AS frames_processed, arg_max(tracks, seq) AS tracks_active, max(epoch) AS view_epoch FROM fr GROUP BY feed_id")
+def agg_feed_metrics(t):
+    return metrics.feed_metrics(frames(t))
+
+
+@query("agg_diag", FRAMES + " SELECT string_agg(feed_id || ':' || s || ':' || tr, ',' ORDER BY feed_id) AS feeds FROM (SELECT feed_id, max(seq) AS s, arg_max(tracks, seq) AS tr FROM fr GROUP BY feed_id)")
+def agg_diag(t):
+    last = metrics.latest(frames(t))  # one row per feed
+    line = F.concat_ws(":", "feed_id", "seq", "tracks")
+    parts = F.array_sort(F.collect_list(F.struct("feed_id", line.alias("line"))))
+    return last.agg(F.array_join(F.transform(parts, lambda p: p["line"]), ",").alias("feeds"))
+
+
+@query("ord_diag", FRAMES + " SELECT feed_id, max(seq) AS seq FROM fr GROUP BY feed_id ORDER BY feed_id")
+def ord_diag(t):
+    return metrics.latest(frames(t)).select("feed_id", "seq").orderBy("feed_id")
+
+
+@query("sink_ui_latest", FRAMES + " SELECT feed_id, max(seq) AS last_seq, max(seq) FILTER (seq % 6 = 5) AS last_framed FROM fr GROUP BY feed_id")
+def sink_ui_latest(t):
+    return frames(t).groupBy("feed_id").agg(F.max("seq").alias("last_seq"), F.max(F.when(F.col("seq") % 6 == 5, F.col("seq"))).alias("last_framed"))
+
+
+@query("sink_log", "SELECT feed_id, seq FROM (SELECT feed_id, seq, row_number() OVER (PARTITION BY feed_id ORDER BY seq) AS n FROM reports) WHERE n % 60 = 0")
+def sink_log(t):
+    return t.reports.withColumn("keep", flow.sampled(60)).filter("keep").select("feed_id", "seq")
+
+
+@query("agg_admission", "SELECT feed_id, seq, count(*) FILTER (conf >= 0.95e0) AS admitted, count(*) FILTER (conf < 0.95e0) AS rejected FROM detections GROUP BY ALL")
+def agg_admission(t):
+    ok = F.col("conf") >= 0.95
+    return t.detections.groupBy("feed_id", "seq").agg(F.count_if(ok).alias("admitted"), F.count_if(~ok).alias("rejected"))
+
+
+@query("agg_signal_track_count", "SELECT feed_id, count(*) AS track_count, count(*) FILTER (n >= 100) AS long_dwell_tracks FROM (SELECT feed_id, track_id, count(*) AS n FROM observations GROUP BY ALL) GROUP BY feed_id")
+def agg_signal_track_count(t):
+    n = t.observations.groupBy("feed_id", "track_id").agg(F.count("*").alias("n"))
+    return n.groupBy("feed_id").agg(F.count("*").alias("track_count"), F.count_if(F.col("n") >= 100).alias("long_dwell_tracks"))
+
+
+@query("agg_stage_metrics", "SELECT stage_id, count(*) AS frames_processed, count(error) AS errors FROM stage_runs GROUP BY stage_id")
+def agg_stage_metrics(t):
+    return t.stage_runs.groupBy("stage_id").agg(F.count("*").alias("frames_processed"), F.count("error").alias("errors"))
+
+
+@query("win_stage_latency", "SELECT feed_id, seq, max(end_ns) - min(start_ns) AS total_ns, cast(sum(end_ns - start_ns) AS bigint) AS stage_ns FROM stage_runs GROUP BY ALL")
+def win_stage_latency(t):
+    return t.stage_runs.groupBy("feed_id", "seq").agg((F.max("end_ns") - F.min("start_ns")).alias("total_ns"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("stage_ns"))
+
+
+@query("pipe_linear", "SELECT feed_id, seq, det_id, round((x_min + x_max) / 2, 6) AS cx, conf >= 0.95e0 AS sure FROM detections WHERE conf >= 0.92e0")
+def pipe_linear(t):
+    p = pipeline.Pipeline()
+    p.add(pipeline.Stage("detect", lambda df: df.filter("conf >= 0.92"), produces=frozenset({"detections"})))
+    p.add(pipeline.Stage("centre", lambda df: df.withColumn("cx", F.round((F.col("x_min") + F.col("x_max")) / 2, 6)), frozenset({"detections"})))
+    p.add(pipeline.Stage("rate", lambda df: df.withColumn("sure", F.col("conf") >= 0.95), frozenset({"detections"})))
+    return p.run(t.detections).select("feed_id", "seq", "det_id", "cx", "sure")
+
+
+@query("pipe_merge", """WITH o AS (SELECT feed_id, seq, det_id AS stage_no, CASE WHEN det_id % 2 = 1 THEN class_id END AS detections, CASE WHEN det_id % 3 = 0 THEN class_id END AS tracks, 's' || det_id AS signal FROM detections)
+SELECT feed_id, seq, arg_max(detections, stage_no) FILTER (detections IS NOT NULL) AS detections, arg_max(tracks, stage_no) FILTER (tracks IS NOT NULL) AS tracks, count(tracks) > 0 AS authoritative, string_agg(signal, ',' ORDER BY stage_no) AS signals, arg_max(signal, stage_no) AS artifact FROM o GROUP BY ALL""")
+def pipe_merge(t):
+    signal = F.concat(F.lit("s"), F.col("det_id").cast("string"))
+    rows = t.detections.select("feed_id", "seq", F.col("det_id").alias("stage_no"), F.when(F.col("det_id") % 2 == 1, F.col("class_id")).alias("detections"), F.when(F.col("det_id") % 3 == 0, F.col("class_id")).alias("tracks"), F.array(signal).alias("signals"), F.create_map(F.lit("mark"), signal).alias("artifacts"))
+    m = pipeline.merged(rows)
+    return m.select("feed_id", "seq", "detections", "tracks", "authoritative", F.array_join("signals", ",").alias("signals"), F.col("artifacts")["mark"].alias("artifact"))
+
+
+SURVIVE = "WITH f AS (SELECT feed_id, seq, min({'a': start_ns, 'b': stage_id}) FILTER (error IS NOT NULL) AS stop FROM stage_runs GROUP BY ALL), s AS (SELECT r.*, stop IS NOT NULL AS frame_dropped FROM stage_runs r JOIN f ON r.feed_id = f.feed_id AND r.seq = f.seq WHERE stop IS NULL OR {'a': start_ns, 'b': stage_id} <= stop)"
+
+
+@query("pipe_error", SURVIVE + " SELECT feed_id, seq, count(*) AS stages_run, bool_or(frame_dropped) AS frame_dropped FROM s GROUP BY ALL")
+def pipe_error(t):
+    return pipeline.surviving(t.stage_runs).groupBy("feed_id", "seq").agg(F.count("*").alias("stages_run"), F.bool_or("frame_dropped").alias("frame_dropped"))
+
+
+@query("pipe_prov", SURVIVE + " SELECT stage_id, coalesce(error, 'Ok') AS result, count(*) AS n, cast(sum(end_ns - start_ns) AS bigint) AS latency_ns FROM s GROUP BY ALL")
+def pipe_prov(t):
+    return pipeline.surviving(t.stage_runs).groupBy("stage_id", F.coalesce("error", F.lit("Ok")).alias("result")).agg(F.count("*").alias("n"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("latency_ns"))
+
+
+@query("pipe_validate", "SELECT stage_id, n, coalesce(sum(n) OVER (ORDER BY stage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS produced_before FROM (SELECT stage_id, count(*) AS n FROM stage_runs GROUP BY stage_id)")
+def pipe_validate(t):
+    n = t.stage_runs.groupBy("stage_id").agg(F.count("*").alias("n"))  # one row per stage
+    before = F.sum("n").over(Window.orderBy("stage_id").rowsBetween(Window.unboundedPreceding, -1))
+    return n.select("stage_id", "n", F.coalesce(before, F.lit(0)).alias("produced_before"))
+
+
+@query("sink_output", "SELECT feed_id, seq, decision FROM (SELECT * FROM (WITH " + VIEW + " SELECT feed_id, seq, decision FROM v))")
+def sink_output(t):
+    from frameloom.streaming.sinks import written
+
+    return written(view.decided(t.reports).select("feed_id", "seq", "decision"), "outputs")
+
+
+@query("sink_broadcast", "SELECT 'all' AS subscriber, count(*) AS n FROM reports UNION ALL SELECT 'presets', count(*) FROM reports WHERE preset")
+def sink_broadcast(t):
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("subscriber"), "n")
+    return count(t.reports, "all").unionByName(count(t.reports.filter("preset"), "presets"))
+
+
+@query("sink_otlp", "SELECT kind, cast(count(*) AS bigint) AS events FROM health_events GROUP BY kind")
+def sink_otlp(t):
+    return t.health_events.groupBy("kind").agg(F.count("*").alias("events"))

@@ -117,7 +117,7 @@ SELECT feed_id, seq, CASE WHEN bv = version THEN 'Current' WHEN be = epoch THEN
 def bound_validity(t):
     rows = view.decided(t.reports).select("feed_id", "seq", view.epoch().alias("epoch"), view.version().alias("version"))
     at = F.col("seq") % 10 == 0  # rebound every tenth frame
-    bound = {f"bound_{c}": F.last(F.when(at, F.col(c)), ignorenulls=True).over(view.SO_FAR) for c in ("version", "epoch")}
+    bound = {f"bound_{c}": F.last(F.when(at, F.col(c)), ignorenulls=True).over(view.so_far()) for c in ("version", "epoch")}
     rows = rows.withColumns(bound)
     return rows.select("feed_id", "seq", view.bound_validity(*map(F.col, ("bound_version", "bound_epoch", "version", "epoch"))).alias("binding"))
 

@@ -142,7 +142,7 @@ def st_clear(t):
 
 @query("st_snapshot", "SELECT feed_id, seq, track_id, count(*) OVER w AS seen, max(ts_ns) OVER w AS last_seen FROM track_points WINDOW w AS (PARTITION BY feed_id, track_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def st_snapshot(t):
-    return t.track_points.select("feed_id", "seq", "track_id", F.count("*").over(tj.BEFORE).alias("seen"), F.max("ts_ns").over(tj.BEFORE).alias("last_seen"))
+    return t.track_points.select("feed_id", "seq", "track_id", F.count("*").over(tj.before()).alias("seen"), F.max("ts_ns").over(tj.before()).alias("last_seen"))
 
 
 @query("st_lookup", f"WITH {POINTS} SELECT feed_id, track_id, count(*) AS trajectory_points, max(segment) AS segments, max(ts_ns) AS last_seen FROM g GROUP BY ALL")
@@ -191,9 +191,9 @@ s AS (SELECT *, sum(CASE WHEN away IS NULL OR away > 0 THEN 1 ELSE 0 END) OVER (
 SELECT feed_id, track_id, seq, CASE WHEN away > 15 THEN 'Lost' WHEN away > 0 THEN 'Coasted' WHEN streak >= 3 THEN 'Confirmed' ELSE 'Tentative' END AS state FROM h""")
 def trk_lifecycle(t):
     config = tracker.Config()
-    away = F.col("seq") - F.lag("seq").over(tj.BY_TRACK) - 1
+    away = F.col("seq") - F.lag("seq").over(tj.by_track()) - 1
     rows = t.observations.select("feed_id", "track_id", "seq", away.alias("away"))
-    rows = rows.withColumn("run", F.sum((F.coalesce("away", F.lit(1)) > 0).cast("int")).over(tj.SO_FAR))
+    rows = rows.withColumn("run", F.sum((F.coalesce("away", F.lit(1)) > 0).cast("int")).over(tj.so_far()))
     streak = F.count("*").over(Window.partitionBy("feed_id", "track_id", "run").orderBy("seq"))
     state = F.when(F.col("away") > config.max_age // 2, "Lost").when(F.col("away") > 0, "Coasted").when(streak >= config.min_hits, "Confirmed").otherwise("Tentative")
     return rows.select("feed_id", "track_id", "seq", state.alias("state"))
