@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.storage import text_column
+from frameloom.llm.storage import fresh, text_column
 
 #: Bytes of distinct contents that one table may hold: of a map task's pre-aggregation, and of a bucket.
 LOCAL_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
@@ -166,10 +166,10 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     return folded.repartition("sha").mapInArrow(_grace, GROUPS.replace("text string, ", ""))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, sha: str, copy: str) -> DataFrame:
     """``docs`` with two columns more: the digest of its text, and its number among repeated rows."""
-    docs = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    return docs.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.lit(1))))
+    docs = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    return docs.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -178,15 +178,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     The join of rows with their group is on the digest; a hot digest is split by the adaptive skew join, as the other
     side has one narrow row per group.
     """
-    rows = keyed(text_column(docs, {"doc_id": "long", "text": "string"})).drop("text")
-    out = rows.join(copy_groups(docs), rows["__sha"] == F.col("sha"))
-    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("__copy") == 1)
+    rows = keyed(text_column(docs, {"doc_id": "long", "text": "string"}), "sha", "copy").drop("text")
+    out = rows.join(copy_groups(docs), "sha")
+    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    groups = copy_groups(docs).select("sha", "keep_id")
-    rows = keyed(docs).filter("__copy = 1")
-    match = (rows["__sha"] == groups["sha"]) & rows["doc_id"].eqNullSafe(groups["keep_id"])
+    sha, copy = fresh(docs, "__sha", "__copy")
+    groups = copy_groups(docs).select(F.col("sha").alias("group"), "keep_id")
+    rows = keyed(docs, sha, copy).filter(F.col(copy) == 1)
+    match = (rows[sha] == groups["group"]) & rows["doc_id"].eqNullSafe(groups["keep_id"])
     return rows.join(groups, match, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,8 @@ there is then compared pair by pair, in tiles of bounded size, so no link betwee
 The number of bands makes the chance of missing a link at the threshold itself MISS; more similar pairs fare better.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text shorter than five words is
-one shingle; a null doc_id sorts after all others; rows with the same doc_id are one node; no rows give no rows.
+one shingle; a row without doc_id goes by its own text and sorts after all others; rows with the same doc_id are one
+node; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.llm import blocks as B
 from frameloom.llm.bytesight import U64, Words, mix, rows_within, shingle_sets, text_buffers
 from frameloom.llm.components import components
-from frameloom.llm.storage import Scratch, text_column
+from frameloom.llm.storage import Scratch, fresh, text_column
 
 ROWS_PER_BAND, MISS = 6, 1e-7
 TILE = 256
+#: Rows without a doc_id get numbers from here; real ids are below.
+NAMELESS = 1 << 62
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
@@ -76,7 +79,7 @@ def _sets(n_bands: int):
                     for k, row in zip(full.tolist(), found, strict=True):
                         bands[k] = row
                 keys = [blake2b(raw[a:b], digest_size=16).digest() if a < b else None for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").fill_null(B.NULL_ID), pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, SETS[3].type)], schema=SETS)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(keys, pa.binary()), pa.array(bands, SETS[3].type)], schema=SETS)
 
     return run
 
@@ -108,18 +111,21 @@ def _verify_stars(percent: int):
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         held: list[dict] = []
-        hub, centre = None, None
+        at, centres = None, []
 
         def flush() -> Iterator[tuple]:
             if held:
-                ok = linked(centre, [np.frombuffer(r["shingles"], U64) for r in held], percent)
-                yield from ((r["id"], hub) for r, good in zip(held, ok.tolist(), strict=True) if good)
+                sets = [np.frombuffer(r["shingles"], U64) for r in held]
+                ok = np.any([linked(c, sets, percent) for c in centres], axis=0)
+                yield from ((r["id"], at[0]) for r, good in zip(held, ok.tolist(), strict=True) if good)
                 held.clear()
 
         for row in rows:
-            if row["role"] == 0:
+            if (row["hub"], row["part"]) != at:
                 yield from flush()
-                hub, centre = row["hub"], np.frombuffer(row["shingles"], U64)
+                at, centres = (row["hub"], row["part"]), []
+            if row["role"] == 0:
+                centres.append(np.frombuffer(row["shingles"], U64))
             else:
                 held.append(row)
                 if len(held) >= TILE:
@@ -154,11 +160,16 @@ def _verify_tiles(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; a link needs 100 * common >= percent * union."""
+def node(doc_id: Column, text: Column) -> Column:
+    """A row's node: its doc_id, or, without one, a number beyond all ids that its text gives."""
+    return F.coalesce(doc_id, F.lit(NAMELESS) + F.pmod(F.xxhash64(text), F.lit(NAMELESS)))
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """One row per row of ``docs``: node, n, component."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    texts = text_column(docs, {"doc_id": "long", "text": "string"})
+    texts = text_column(docs, {"doc_id": "long", "text": "string"}).withColumn("doc_id", node(F.col("doc_id"), F.col("text")))
     ddl = "doc_id long, n long, key binary, bands array<long>"
     sets = scratch.keep(texts.mapInArrow(_sets(bands_for(percent / 100)), ddl), "sets")
 
@@ -170,7 +181,7 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # the full sets of all documents that share a band
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
-    full = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(B.NULL_ID))).join(wanted, "doc_id", "left_semi")
+    full = texts.join(wanted, "doc_id", "left_semi")
     full = scratch.keep(full.mapInArrow(_full_sets, "doc_id long, shingles binary"), "full", "uncompressed")
 
     stars = shared.filter("rep <> hub").select("hub", F.col("rep").alias("id")).distinct()
@@ -181,7 +192,11 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     arms = stars.join(sides, "id").withColumn("role", F.lit(1))
     columns = ["hub", "part", "role", "id", "shingles"]
     rows = centres.select(columns).unionAll(arms.select(columns)).repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
-    links = scratch.keep(B.map_rows(rows, _verify_stars(percent), "a long, b long"), "links")
+    # rows with the same doc_id are one node, whatever their texts
+    named = F.coalesce("key", F.lit(b""))
+    several = sets.groupBy("doc_id").agg(F.min(named).alias("low"), F.max(named).alias("high")).filter("low < high").select("doc_id")
+    same = sets.join(several, "doc_id").join(classes, "key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = scratch.keep(B.map_rows(rows, _verify_stars(percent), "a long, b long").unionAll(same), "links")
     found = components(links, scratch, "stars")
 
     # bands that still hold several components, of more documents than the star has compared
@@ -206,22 +221,24 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         found = components(links.unionAll(more), scratch, "all")
     scratch.drop("shared", "full")
 
-    owner = classes.join(found, F.col("rep") == F.col("v"), "left").select("key", F.coalesce("w", "rep").alias("owner"))
-    out = sets.select("doc_id", "n", "key").join(owner, "key", "left")
-    component = F.coalesce("owner", "doc_id")
-    visible = lambda c: F.when(c != B.NULL_ID, c)
-    return out.select(
-        visible(F.col("doc_id")).alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        visible(component).alias("component_id"),
-        (F.col("doc_id") == component).alias("kept"),
+    rows = sets.join(classes, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("leader"))
+    rows = rows.join(found, F.col("leader") == F.col("v"), "left")
+    return rows.select(F.col("doc_id").alias("node"), "n", F.coalesce("w", "leader").alias("component"))
+
+
+def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; a link needs 100 * common >= percent * union."""
+    visible = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return _components(docs, percent).select(
+        visible("node").alias("doc_id"), F.col("n").alias("n_shingles"), visible("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each group of near copies, the one with the smallest doc_id; all columns."""
-    kept = near_groups(docs, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    # empty rows share no group: each stays by itself, as do rows that repeat another's doc_id with no text
-    rows = docs.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))))
-    rows = rows.filter("__copy = 1")
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _components(docs, percent).filter("node = component").select(F.col("node").alias("__kept")).distinct()
+    own, copy = fresh(docs, "__node", "__copy")
+    # of repeated rows (same doc_id, same text) one stays
+    rows = docs.withColumn(own, node(F.col("doc_id").cast("long"), F.col("text")))
+    rows = rows.withColumn(copy, F.row_number().over(Window.partitionBy(own, F.xxhash64("text")).orderBy(F.lit(1)))).filter(F.col(copy) == 1)
+    return rows.join(kept, rows[own] == kept["__kept"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
