@@ -80,9 +80,15 @@ def nms(detections: DataFrame, threshold: float = NMS_THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_frames(batches):
-            kept = [g.iloc[suppressed(g[wanted[5:]].to_numpy(), g["conf"].to_numpy(), g["class_id"].to_numpy(), g["det_id"].to_numpy(), threshold)] for _, g in pdf.groupby(["feed_id", "seq"], sort=False)]
-            if kept:
-                yield pd.concat(kept)[["feed_id", "seq", "det_id"]]
+            frame = pdf[["feed_id", "seq"]].to_numpy()
+            cuts = np.flatnonzero(np.any(frame[1:] != frame[:-1], axis=1)) + 1
+            box, score, kind, ids = pdf[wanted[5:]].to_numpy(), pdf["conf"].to_numpy(), pdf["class_id"].to_numpy(), pdf["det_id"].to_numpy()
+            keep = np.ones(len(pdf), dtype=bool)
+            for i, j in zip(np.append(0, cuts).tolist(), np.append(cuts, len(pdf)).tolist(), strict=True):
+                if j - i > 1:
+                    keep[i:j] = False
+                    keep[i + suppressed(box[i:j], score[i:j], kind[i:j], ids[i:j], threshold)] = True
+            yield pdf.loc[keep, ["feed_id", "seq", "det_id"]]
 
     return rows.mapInPandas(run, "feed_id long, seq long, det_id long")
 
@@ -91,7 +97,7 @@ def whole_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Batches of sorted rows, cut so that no frame is split."""
     held = None
     for pdf in batches:
-        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        pdf = (pdf if held is None else pd.concat([held, pdf])).reset_index(drop=True)
         if not len(pdf):
             continue
         last = (pdf["feed_id"] == pdf["feed_id"].iloc[-1]) & (pdf["seq"] == pdf["seq"].iloc[-1])
@@ -113,3 +119,13 @@ def decode_tensor(rows: DataFrame, tensor: str, threshold: float = CONFIDENCE, o
     names = ("x1", "y1", "x2", "y2", "conf", "class_id")
     out = rows.select(*[c for c in rows.columns if c != tensor], F.posexplode(kept).alias("at", "p"))
     return out.select(*[c for c in rows.columns if c != tensor], (F.col("at") + offset).cast("long").alias("det_id"), *[F.col("p")[k].alias(c) for k, c in enumerate(names)])
+
+
+def batch_problem(rank: Column, first: Column, last: Column, length: Column, frames: int) -> Column:
+    """What is wrong with a model's batch output of shape (frames, rows, 6), or null."""
+    return (
+        F.when(rank != 3, "rank is not 3")
+        .when(first != frames, "first dimension is not the batch size")
+        .when(last != 6, "last dimension is not 6")
+        .when(length < first * last, "too few values")
+    )

@@ -230,3 +230,16 @@ def dim_class(t):
     names = t.spark.createDataFrame(list(enumerate(class_names())), "id long, class_name string")
     rows = t.detections.withColumn("id", F.col("class_id") * 7)
     return rows.join(F.broadcast(names), "id", "left").select("feed_id", "seq", "det_id", "class_name")  # 80 rows
+
+
+@query("join_class_dim", f"SELECT class_id, {class_names()}[class_id * 7 + 1] AS class_name, count(*) AS n FROM detections GROUP BY ALL")
+def join_class_dim(t):
+    return dim_class(t).join(t.detections.select("feed_id", "seq", "det_id", "class_id"), ["feed_id", "seq", "det_id"]).groupBy("class_id", "class_name").agg(F.count("*").alias("n"))
+
+
+@query("flt_batch_shape", """SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'rank is not 3' WHEN vec_id % 5 = 0 THEN 'first dimension is not the batch size' WHEN vec_id % 3 = 0 THEN 'last dimension is not 6'
+WHEN len(embedding) - vec_id % 64 < 24 THEN 'too few values' END AS problem FROM embeddings""")
+def flt_batch_shape(t):
+    v = F.col("vec_id")
+    rank, first, last = F.when(v % 7 == 0, 2).otherwise(3), F.when(v % 5 == 0, 2).otherwise(4), F.when(v % 3 == 0, 5).otherwise(6)
+    return t.embeddings.select("vec_id", association.batch_problem(rank, first, last, F.size("embedding") - v % 64, 4).alias("problem"))

@@ -297,3 +297,9 @@ h AS (SELECT *, area / greatest(w, 1e-8) AS h FROM w) SELECT feed_id, seq, det_i
 def trk_bbox(t):
     b = Box.from_measurement(F.col("x_min"), F.col("y_min"), F.col("x_max") - 0.5, F.col("y_max") - 0.4)
     return t.detections.select(*KEYS, *[(F.round(c + 1e-9, 6) + 0.0).alias(n) for n, c in vars(b).items()])
+
+
+@query("src_custom", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def src_custom(t):
+    rows = media.custom_frames(t.spark, "parquet", {"path": f"{t.sf_dir}/events.parquet"}, trusted=True)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"))

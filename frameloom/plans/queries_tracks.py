@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.geometry import Box
 from frameloom.operators import store, tracker
 from frameloom.operators import trajectory as tj
 from frameloom.plans.queries_scalar import r6
@@ -203,3 +205,49 @@ def trk_lifecycle(t):
 def trk_mock(t):
     number = F.row_number().over(Window.partitionBy("feed_id").orderBy("seq", "det_id")).cast("long")
     return t.detections.select("feed_id", "seq", "det_id", number.alias("track_id"), F.lit("Confirmed").alias("state"))
+
+
+@query("st_close_all", f"WITH {POINTS}, b AS (SELECT {SEG}, max(seq) AS last_seq, arg_max(state, seq) AS last_state FROM g WHERE seq < 1000 GROUP BY ALL) SELECT feed_id, track_id, max(segment) AS segment, 'FeedRestart' AS closed_by FROM b GROUP BY feed_id, track_id HAVING arg_max(last_state, segment) <> 'Lost'")
+def st_close_all(t):
+    # a restart at frame 1000 closes each track's open segment
+    rows = tj.segmented(t.track_points.filter("seq < 1000"))
+    g = rows.groupBy("feed_id", "track_id").agg(F.max("segment").alias("segment"), F.max_by("state", "seq").alias("last_state"))
+    return g.filter("last_state <> 'Lost'").select("feed_id", "track_id", "segment", F.lit("FeedRestart").alias("closed_by"))
+
+
+def filtered(t, step):
+    """``step`` of the tracker's filter on fresh tracks of all detections, in batches: columns cx, cy, area and the first variance."""
+    z = Box.of().measurement()
+    rows = t.detections.select("feed_id", "seq", "det_id", "conf", *[c.alias(n) for n, c in zip(("z0", "z1", "z2", "z3"), z, strict=True)])
+
+    def run(batches):
+        for pdf in batches:
+            z = pdf[["z0", "z1", "z2", "z3"]].to_numpy()
+            v = pdf["conf"].to_numpy()
+            x = np.concatenate([z, v[:, None] / 10, v[:, None] / 20, -v[:, None] / 5], axis=1)
+            x, p = step(x, np.repeat(np.diag([10.0] * 4 + [1000.0] * 3)[None], len(z), axis=0), z)
+            yield pdf[["feed_id", "seq", "det_id"]].assign(cx=x[:, 0].round(6), cy=x[:, 1].round(6), area=x[:, 2].round(6), variance=p[:, 0, 0].round(6))
+
+    return rows.mapInPandas(run, "feed_id long, seq long, det_id long, cx double, cy double, area double, variance double")
+
+
+@query("trk_predict", """WITH z AS (SELECT feed_id, seq, det_id, conf, x_min + (x_max - x_min) / 2 AS cx, y_min + (y_max - y_min) / 2 AS cy, greatest((x_max - x_min) * (y_max - y_min) - conf / 5, 1e-6) AS area FROM detections)
+SELECT feed_id, seq, det_id, round(cx + conf / 10, 6) AS cx, round(cy + conf / 20, 6) AS cy, round(area, 6) AS area, round(1010 + area / 400, 6) AS variance FROM z""")
+def trk_predict(t):
+    return filtered(t, lambda x, p, z: tracker.predicted(x, p))
+
+
+@query("trk_update", """WITH z AS (SELECT feed_id, seq, det_id, x_min + (x_max - x_min) / 2 AS cx, y_min + (y_max - y_min) / 2 AS cy, (x_max - x_min) * (y_max - y_min) AS area FROM detections), k AS (SELECT *, 10 / (10 + area / 400) AS k FROM z)
+SELECT feed_id, seq, det_id, round(cx + k / 100, 6) AS cx, round(cy, 6) AS cy, round(area, 6) AS area, round(10 - 10 * k, 6) AS variance FROM k""")
+def trk_update(t):
+    moved = np.array([0.01, 0.0, 0.0, 0.0])
+    return filtered(t, lambda x, p, z: tracker.corrected(x, p, z + moved))
+
+
+@query("trk_reupdate")
+def trk_reupdate(t):
+    def again(x, p, z):
+        x, p = tracker.predicted(np.concatenate([z, np.zeros((len(z), 3))], axis=1), p)
+        return tracker.corrected(x, p, z)
+
+    return filtered(t, again)

@@ -223,3 +223,23 @@ def test_stream_equals_batch(spark, tmp_path):
     fan_out(folded, sinks, str(tmp_path / "cp")).awaitTermination(120)
     want = sorted(map(tuple, flow.batched(df, 4, 50_000_000).collect()))
     assert sorted(seen[0]) == want and sorted(seen[1]) == want
+
+
+def test_in_flight_cap(spark):
+    got = flow.submitted(arrivals(spark, [(0, 10), (5, 10), (10, 10), (12, 1), (25, 1)])).orderBy("seq").collect()
+    assert [r.outcome for r in got] == ["Accepted", "InFlightCapReached", "Accepted", "InFlightCapReached", "Accepted"]
+
+
+def test_source_states(spark):
+    kinds = ["StreamStarted", "Error", "Error", "StreamStarted", "Pause", "Resume", "Eos", "StreamStarted"]
+    rows = spark.createDataFrame([(1, k, k, kind, False) for k, kind in enumerate(kinds)], "feed_id long, ts_ns long, event_id long, kind string, loops boolean")
+    got = flow.source_states(rows).orderBy("event_id").collect()
+    assert [r.state for r in got] == ["Running", "Reconnecting", "Reconnecting", "Running", "Paused", "Running", "Stopped", "Stopped"]
+    assert [r.attempts for r in got][:4] == [0, 1, 2, 0]
+    assert flow.source_states(rows, 1).orderBy("event_id").collect()[2].state == "Stopped"
+
+
+def test_restarts(spark):
+    rows = spark.createDataFrame([(1, k, u, "Stage") for k, u in enumerate([1, 1, 1, 1, 1, 1, 300_000_000_000, 1])], "feed_id long, seq long, uptime_ns long, fault string")
+    assert [(r.restarted, r.restarts) for r in flow.restarts(rows).orderBy("seq").collect()] == [(True, 1), (True, 2), (True, 3), (True, 4), (True, 5), (False, 5), (True, 1), (True, 2)]
+    assert not any(r.restarted for r in flow.restarts(rows, "SourceFailure").collect())
