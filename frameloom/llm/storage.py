@@ -5,7 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes of rows that Spark hands to Python at once, at most; texts may be long.
+BATCH_BYTES = 8 << 20
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -41,9 +44,11 @@ class Scratch:
 
 
 def text_column(docs: DataFrame, needed: dict[str, str]) -> DataFrame:
-    """The needed columns with their types; a column that ``docs`` lacks is null. Other columns are left behind."""
-    from pyspark.sql import functions as F
+    """The needed columns with their types; a column that ``docs`` lacks is null. Other columns are left behind.
 
+    From here on the session hands batches of at most BATCH_BYTES to Python.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     have = set(docs.columns)
     return docs.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in needed.items()])
 
