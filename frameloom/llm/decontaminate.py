@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.bytesight import LOWER, U64, Words, mix, rows_within, shingle_sets, text_buffers, window_hashes, window_inside
 from frameloom.llm.minhash_dedup import _ring
-from frameloom.llm.storage import text_column
+from frameloom.llm.storage import fresh, text_column
 
 THRESHOLD, SHINGLE = 0.8, 5
 COORDINATES = 64
@@ -131,6 +131,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    leaked = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["__id"]), "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns; a row is judged by its own text, whatever its id."""
+    (own,) = fresh(docs, "__own")
+    rows = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    texts = rows.select(F.col(own).alias("doc_id"), "text")
+    leaked = leaks(texts, benchmark, threshold).select(F.col("doc_id").alias("leaked")).distinct()
+    return rows.join(leaked, rows[own] == leaked["leaked"], "left_anti").drop(own)

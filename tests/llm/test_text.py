@@ -202,7 +202,10 @@ def test_decontaminate(spark, docs, rows, empty):
     assert got == want and len(want) > 8
     kept = decontaminate.drop_leaks(docs, bench)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(r[0] not in {k[0] for k in want} for r in rows)
+    sets = [item for item in (shingles(t) for _, t in items) if item]
+    clean = [r for r in rows if not any(len(item & shingles(r[1])) >= 0.8 * len(item) for item in sets)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((r[0], r[1]) for r in clean)
+    assert any(r[0] is None for r in clean) and {r[0] for r in clean} & {r[0] for r in rows if r not in clean}
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(empty, bench).collect() == []
 
 
