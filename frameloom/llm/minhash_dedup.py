@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from frameloom.llm import blocks as B
 from frameloom.llm.bytesight import U64, Words, mix, rows_within, shingle_sets, text_buffers
 from frameloom.llm.components import components
+from frameloom.llm.skew import commonest, dealt_join
 from frameloom.llm.storage import Scratch, fresh, text_column
 
 ROWS_PER_BAND, MISS = 6, 1e-7
@@ -173,7 +174,8 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     ddl = "doc_id long, n long, key binary, bands array<long>"
     sets = scratch.keep(texts.mapInArrow(_sets(bands_for(percent / 100)), ddl), "sets")
 
-    classes = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = sets.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = scratch.keep(classes, "classes")
     leading = sets.join(classes, (sets["key"] == classes["key"]) & (sets["doc_id"] == classes["rep"]), "left_semi")
     members = leading.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("band", "hub")
@@ -221,7 +223,10 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
         found = components(links.unionAll(more), scratch, "all")
     scratch.drop("shared", "full")
 
-    rows = sets.join(classes, "key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("leader"))
+    hot = scratch.keep(commonest(classes, ["key"], "copies"), "hot")
+    narrow = sets.select("doc_id", "n", F.coalesce("key", F.concat(F.lit("without words "), "doc_id").cast("binary")).alias("key"))
+    rows = dealt_join(narrow, classes.select("key", "rep"), hot, ["key"], F.xxhash64("doc_id"), "left")
+    rows = rows.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("leader"))
     rows = rows.join(found, F.col("leader") == F.col("v"), "left")
     return rows.select(F.col("doc_id").alias("node"), "n", F.coalesce("w", "leader").alias("component"))
 
