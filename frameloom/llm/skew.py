@@ -29,7 +29,7 @@ def dealt_keys(one: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     """``one`` (a row per key, no null key) with every ``salt`` that a row of that key may have."""
     marked = F.broadcast(hot.withColumn("hot", F.lit(True)))  # HOT_KEYS rows
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return one.join(marked, keys, "left").withColumn("salt", F.explode(salts).cast("long")).drop("hot")
+    return one.join(marked, keys, "left").withColumn("salt", F.explode(salts.cast("array<bigint>"))).drop("hot")
 
 
 def dealt_join(many: DataFrame, one: DataFrame, hot: DataFrame, keys: list[str], spread: Column, how: str) -> DataFrame:
