@@ -3,7 +3,7 @@
 The spread of a line is the number of distinct sites it stands on. Each task sketches the sites of its lines in
 HyperLogLog sketches per line hash, which aggregation merges; lines on a single site, seen from the least and largest
 site hash, need no sketch. A line whose estimate lies near the threshold gets an exact distinct count. Lines that
-reach the threshold are removed from every document.
+reach the threshold are removed from every document. Places of the commonest lines are dealt over many tasks.
 
 Lines are cut at line feeds and compared without white space at their ends, by 128 bits of hashes. Defined results:
 blank lines are never boilerplate; a null text is empty, and an empty text has one, blank line; a null site is no
@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.storage import text_column
+from frameloom.llm.skew import commonest, dealt_join, dealt_keys, dealt_rows
+from frameloom.llm.storage import Scratch, text_column
 
 MIN_SITES = 5
 #: Sketches of 2**LG_K registers; their relative error is about 1.04 / 2**(LG_K / 2).
@@ -24,6 +25,11 @@ LG_K = 8
 NEAR = 4 * 1.04 / 2 ** (LG_K / 2)
 
 
+def place() -> Column:
+    """Tells the places of a line apart."""
+    return F.xxhash64("doc_id", "digest", "at")
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -39,26 +45,37 @@ def exploded(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "digest", "at", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), "source")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Lines (k1, k2) that stand on at least ``min_sites`` distinct sites."""
-    lines = exploded(text_column(docs, {"doc_id": "long", "text": "string", "source": "string"})).filter("source IS NOT NULL")
-    sites = lines.select("k1", "k2", "source", F.xxhash64("source").alias("site"))
-    spread = sites.groupBy("k1", "k2").agg(F.min("site").alias("low"), F.max("site").alias("high"))
-    if min_sites < 2:
-        return spread.select("k1", "k2")
-    several = sites.join(spread.filter("low < high"), ["k1", "k2"], "left_semi")
-    sketches = several.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("estimate"))
+def line_counts(lines: DataFrame) -> DataFrame:
+    """A row per line: k1, k2, n (its places), low and high (least and largest hash of its sites; null without one)."""
+    site = F.when(F.col("source").isNotNull(), F.xxhash64("source"))
+    return lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(site).alias("low"), F.max(site).alias("high"))
+
+
+def boilerplate(lines: DataFrame, several: DataFrame, hot: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Lines (k1, k2) of ``several``, those on two sites or more, that stand on at least ``min_sites`` distinct sites."""
+    if min_sites <= 2:
+        return several.select("k1", "k2")
+    keys = ["k1", "k2"]
+    sites = dealt_rows(lines.filter("source IS NOT NULL"), hot, keys, place()).select(*keys, "salt", "source")
+    sites = sites.join(dealt_keys(several.select(keys), hot, keys), [*keys, "salt"], "left_semi")
+    sketches = sites.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LG_K))).alias("estimate"))
     sure = sketches.filter(F.col("estimate") > min_sites * (1 + NEAR)).select("k1", "k2")
     near = sketches.filter((F.col("estimate") <= min_sites * (1 + NEAR)) & (F.col("estimate") >= min_sites * (1 - NEAR) - 1))
-    exact = several.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "source").distinct()
+    exact = sites.join(dealt_keys(near.select(keys), hot, keys), [*keys, "salt"], "left_semi").select("k1", "k2", "source").distinct()
     exact = exact.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("k1", "k2")
     return sure.unionAll(exact)
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_sha256, kept_text."""
+    scratch = Scratch(docs.sparkSession, "lines")
     rows = text_column(docs, {"doc_id": "long", "text": "string", "source": "string"})
-    gone = exploded(rows).join(boilerplate(docs, min_sites), ["k1", "k2"], "left_semi")
+    lines = exploded(rows)
+    needed = "low < high" if min_sites > 1 else "low IS NOT NULL"
+    several = scratch.keep(line_counts(lines).filter(needed).select("k1", "k2", "n"), "several")
+    hot = scratch.keep(commonest(several, ["k1", "k2"]), "hot")
+    found = scratch.keep(boilerplate(lines, several, hot, min_sites), "boilerplate")
+    gone = dealt_join(lines.select("doc_id", "digest", "at", "k1", "k2"), found, hot, ["k1", "k2"], place(), "left_semi")
     gone = gone.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("gone"))
     rows = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
     match = rows["id"].eqNullSafe(gone["doc_id"]) & (rows["own"] == gone["digest"])
