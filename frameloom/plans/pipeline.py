@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,14 +94,59 @@ class FeedConfig:
             out.append("an observed camera needs a view provider")
         if self.camera_mode == "Fixed" and self.view_provider is not None:
             out.append("a fixed camera takes no view provider")
-        if self.queue_depth < 1 or self.sink_capacity < 1:
-            out.append("queues hold at least one element")
+        if self.queue_depth < 1:
+            out.append("a queue holds at least one element")
         if self.source and self.source.startswith("rtsp://") and self.require_tls:
             out.append("the source is not encrypted")
         if self.source and self.source.startswith("custom:") and not self.trusted:
             out.append("custom sources must be trusted")
         return out
 
+    def sink_depth(self) -> int:
+        return max(self.sink_capacity, 1)
+
+
+@dataclass(frozen=True)
+class BatchConfig:
+    """Limits of a shared batch stage; those that are None are not set."""
+
+    size: int = 4
+    latency_ns: int = 50_000_000
+    in_flight: int = 1
+    queue_capacity: int | None = None
+    response_timeout_ns: int | None = None
+    startup_timeout_ns: int | None = None
+
+    def problems(self) -> list[str]:
+        out = [f"{n} must be positive" for n in ("size", "latency_ns", "in_flight") if getattr(self, n) < 1]
+        out += [f"{n} must be positive" for n in ("response_timeout_ns", "startup_timeout_ns") if getattr(self, n) is not None and getattr(self, n) < 1]
+        if self.queue_capacity is not None and self.queue_capacity < self.size:
+            out.append("queue_capacity must hold a whole batch")
+        return out
+
+
+def batch_problems(configs: DataFrame) -> Column:
+    """BatchConfig.problems for rows with columns of the same names: an array of strings."""
+    checks = [F.when(F.col(n) < 1, F.lit(f"{n} must be positive")) for n in ("size", "latency_ns", "in_flight", "response_timeout_ns", "startup_timeout_ns") if n in configs.columns]
+    if "queue_capacity" in configs.columns:
+        checks.append(F.when(F.col("queue_capacity") < F.col("size"), F.lit("queue_capacity must hold a whole batch")))
+    return F.array_compact(F.array(*checks))
+
+
+def declared_problems(stages: DataFrame) -> DataFrame:
+    """Pipeline.problems for a table of declared stages (pipeline_id, stage_no, stage_id, consumes, produces; the last two
+    arrays of names): one row per problem, with pipeline_id, stage_no, stage_id and problem.
+
+    One window per pipeline gathers what the stages before produce; a pipeline has few stages.
+    """
+    order = Window.partitionBy("pipeline_id").orderBy("stage_no")
+    have = F.flatten(F.collect_list("produces").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    nth = F.row_number().over(Window.partitionBy("pipeline_id", "stage_id").orderBy("stage_no"))
+    rows = stages.select("pipeline_id", "stage_no", "stage_id", F.coalesce("consumes", F.array().cast("array<string>")).alias("consumes"), have.alias("have"), nth.alias("nth"))
+    needs = F.transform(F.array_except("consumes", "have"), lambda c: F.concat(F.lit("needs "), c))
+    found = F.concat(needs, F.array_compact(F.array(F.when(F.col("nth") > 1, F.lit("appears twice")))))
+    return rows.select("pipeline_id", "stage_no", "stage_id", F.explode(found).alias("problem"))
+
 
 def merged(outputs: DataFrame) -> DataFrame:
     """Stage outputs (feed_id, seq, stage_no, detections, tracks, signals, artifacts) as one row per frame.

@@ -250,11 +250,44 @@ def pipe_prov(t):
     return pipeline.surviving(t.stage_runs).groupBy("stage_id", F.coalesce("error", F.lit("Ok")).alias("result")).agg(F.count("*").alias("n"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("latency_ns"))
 
 
-@query("pipe_validate", "SELECT stage_id, n, coalesce(sum(n) OVER (ORDER BY stage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS produced_before FROM (SELECT stage_id, count(*) AS n FROM stage_runs GROUP BY stage_id)")
+DECLARED = """WITH d AS (SELECT l_orderkey AS pipeline_id, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS bigint) AS stage_no,
+ 's' || (l_suppkey % 9) AS stage_id, l_partkey % 2 = 0 AS cd, l_partkey % 3 = 0 AS ct, l_partkey % 5 < 2 AS pd, l_partkey % 7 < 2 AS pt FROM lineitem),
+h AS (SELECT *, coalesce(bool_or(pd) OVER w, false) AS hd, coalesce(bool_or(pt) OVER w, false) AS ht, row_number() OVER (PARTITION BY pipeline_id, stage_id ORDER BY stage_no) > 1 AS twice
+ FROM d WINDOW w AS (PARTITION BY pipeline_id ORDER BY stage_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pipeline_id, stage_no, stage_id, 'needs detections' AS problem FROM h WHERE cd AND NOT hd UNION ALL SELECT pipeline_id, stage_no, stage_id, 'needs tracks' FROM h WHERE ct AND NOT ht
+UNION ALL SELECT pipeline_id, stage_no, stage_id, 'appears twice' FROM h WHERE twice"""
+
+
+@query("pipe_validate", DECLARED)
 def pipe_validate(t):
-    n = t.stage_runs.groupBy("stage_id").agg(F.count("*").alias("n"))  # one row per stage
-    before = F.sum("n").over(Window.orderBy("stage_id").rowsBetween(Window.unboundedPreceding, -1))
-    return n.select("stage_id", "n", F.coalesce(before, F.lit(0)).alias("produced_before"))
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
+    part = F.col("l_partkey")
+    kinds = lambda d, k: F.array_compact(F.array(F.when(d, F.lit("detections")), F.when(k, F.lit("tracks"))))
+    stages = t.lineitem.select(
+        F.col("l_orderkey").alias("pipeline_id"),
+        nth.alias("stage_no"),
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 9).cast("string")).alias("stage_id"),
+        kinds(part % 2 == 0, part % 3 == 0).alias("consumes"),
+        kinds(part % 5 < 2, part % 7 < 2).alias("produces"),
+    )
+    return pipeline.declared_problems(stages)
+
+
+@query("strm_batch_validate", """WITH c AS (SELECT o_orderkey, o_orderkey % 5 AS size, (o_custkey % 4) * 25000000 AS latency_ns, o_orderkey % 3 AS in_flight,
+ CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 7 END AS queue_capacity, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey % 4 END AS response_timeout_ns FROM orders)
+SELECT o_orderkey, concat_ws('; ', CASE WHEN size < 1 THEN 'size must be positive' END, CASE WHEN latency_ns < 1 THEN 'latency_ns must be positive' END, CASE WHEN in_flight < 1 THEN 'in_flight must be positive' END,
+ CASE WHEN response_timeout_ns < 1 THEN 'response_timeout_ns must be positive' END, CASE WHEN queue_capacity < size THEN 'queue_capacity must hold a whole batch' END) AS problems FROM c""")
+def strm_batch_validate(t):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    configs = t.orders.select(
+        "o_orderkey",
+        (key % 5).alias("size"),
+        (cust % 4 * 25_000_000).alias("latency_ns"),
+        (key % 3).alias("in_flight"),
+        F.when(cust % 2 == 0, cust % 7).alias("queue_capacity"),
+        F.when(cust % 3 == 0, key % 4).alias("response_timeout_ns"),
+    )
+    return configs.select("o_orderkey", F.array_join(pipeline.batch_problems(configs), "; ").alias("problems"))
 
 
 @query("sink_output", "SELECT feed_id, seq, decision FROM (SELECT * FROM (WITH " + VIEW + " SELECT feed_id, seq, decision FROM v))")

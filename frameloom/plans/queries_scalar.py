@@ -177,7 +177,16 @@ def str_redact_urls(t):
     return t.log_lines.select("conv_id", "turn", text.redact_urls(F.col("line")).alias("line"))
 
 
-@query("str_sanitize")
+def sanitize_sql() -> str:
+    out = "cut"
+    for name in text.SECRET_NAMES:
+        out = f"regexp_replace({out}, '(?i)({name})[^{text.VALUE_ENDS.replace(chr(39), chr(39) * 2)}]+', '\\1***', 'g')"
+    return f"""WITH c AS (SELECT conv_id, turn, regexp_replace(line, '\\p{{Cc}}', ' ', 'g') AS clean FROM log_lines),
+k AS (SELECT *, CASE WHEN strlen(clean) > {text.LINE_LIMIT} THEN substr(clean, 1, list_min(list_filter(range({text.LINE_LIMIT // 4}, {text.LINE_LIMIT + 1}), lambda n: strlen(substr(clean, 1, n)) >= {text.LINE_LIMIT}))) || '...[truncated]' ELSE clean END AS cut FROM c)
+SELECT conv_id, turn, {out} AS line FROM k"""
+
+
+@query("str_sanitize", sanitize_sql())
 def str_sanitize(t):
     return t.log_lines.select("conv_id", "turn", text.sanitize(F.col("line")).alias("line"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frameloom.functions import clock, pixels, text
 from frameloom.functions.geometry import Box, angular_delta, clamp_unit
 from frameloom.operators import association, flow, store, tracker, trajectory, view
-from frameloom.plans.pipeline import FeedConfig, Pipeline, Stage, merged
+from frameloom.plans.pipeline import BatchConfig, FeedConfig, Pipeline, Stage, batch_problems, declared_problems, merged
 from frameloom.sources import media
 from frameloom.streaming.sinks import fan_out
 from frameloom.streaming.stateful import fold_stream
@@ -243,3 +243,14 @@ def test_restarts(spark):
     rows = spark.createDataFrame([(1, k, u, "Stage") for k, u in enumerate([1, 1, 1, 1, 1, 1, 300_000_000_000, 1])], "feed_id long, seq long, uptime_ns long, fault string")
     assert [(r.restarted, r.restarts) for r in flow.restarts(rows).orderBy("seq").collect()] == [(True, 1), (True, 2), (True, 3), (True, 4), (True, 5), (False, 5), (True, 1), (True, 2)]
     assert not any(r.restarted for r in flow.restarts(rows, "SourceFailure").collect())
+
+
+def test_declared_stages_and_batch_limits(spark):
+    rows = [(1, 1, "a", ["tracks"], ["detections"]), (1, 2, "b", ["detections", "tracks"], ["tracks"]), (1, 3, "a", ["tracks"], None), (2, 1, "a", None, [])]
+    table = spark.createDataFrame(rows, "pipeline_id long, stage_no long, stage_id string, consumes array<string>, produces array<string>")
+    found = sorted((r.pipeline_id, r.stage_no, r.problem) for r in declared_problems(table).collect())
+    assert found == [(1, 1, "needs tracks"), (1, 2, "needs tracks"), (1, 3, "appears twice")]
+    assert FeedConfig(sink_capacity=0).sink_depth() == 1
+    limits = [BatchConfig(), BatchConfig(0, 0, 0), BatchConfig(queue_capacity=3), BatchConfig(response_timeout_ns=0, startup_timeout_ns=0)]
+    table = spark.createDataFrame([tuple(vars(c).values()) for c in limits], "size long, latency_ns long, in_flight long, queue_capacity long, response_timeout_ns long, startup_timeout_ns long")
+    assert [sorted(r[0]) for r in table.select(batch_problems(table)).collect()] == [sorted(c.problems()) for c in limits]
