@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -151,8 +152,14 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(table.entries)
 
 
+def _spill_folder() -> str | None:
+    """One of the task's own Spark spill disks, where Spark names them, as Spark's own Python spilling uses them."""
+    disks = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return random.choice(disks) if disks else None
+
+
 def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory(dir=_spill_folder()) as folder:
         for batch in _batches(grace_groups(_records(batches), BUCKET_BYTES, folder)):
             yield batch.drop_columns(["text"])
 
