@@ -189,7 +189,8 @@ def lifecycle(away: int, streak: int, config: Config) -> str:
 
 
 class FeedTracker:
-    """A fold over a feed's detection rows in order of frame: a frame is tracked when its last row has come."""
+    """A fold over a feed's rows in order of frame: a frame is tracked when its last row has come. Rows that are not
+    ``detected`` stand for a frame itself, which is tracked without detections too."""
 
     def __init__(self, config: Config | None = None):
         self.tracker = Tracker(config or Config())
@@ -205,21 +206,28 @@ class FeedTracker:
         if not self.frame:
             return []
         rows, self.frame = self.frame, []
-        epoch = rows[0].get("epoch")
+        epoch = next((r["epoch"] for r in rows if r.get("epoch") is not None), self.epoch)
         if epoch != self.epoch and self.epoch is not None:
             self.tracker.reset()
         self.epoch = epoch
-        boxes = np.array([[r["x_min"], r["y_min"], r["x_max"], r["y_max"]] for r in rows], dtype=float)
-        columns = [np.array([r[c] for r in rows]) for c in ("class_id", "det_id", "conf")]
+        found = [r for r in rows if r.get("detected", True)]
+        boxes = np.array([[r["x_min"], r["y_min"], r["x_max"], r["y_max"]] for r in found], dtype=float).reshape(-1, 4)
+        columns = [np.array([r[c] for r in found], dtype=kind) for c, kind in (("class_id", np.int64), ("det_id", np.int64), ("conf", float))]
         return [(rows[0]["feed_id"], rows[0]["seq"], *t) for t in self.tracker.update(boxes, *columns)]
 
 
 TRACKS = "feed_id long, seq long, track_id long, class_id long, state string, confidence double, det_id long, x_min double, y_min double, x_max double, y_max double"
 
 
-def track(detections, config: Config | None = None):
-    """Tracks of every frame (columns of TRACKS) of detection rows; an ``epoch`` column resets at its changes."""
+def track(detections, frames, config: Config | None = None):
+    """Tracks of every frame (columns of TRACKS) of ``frames`` (feed_id, seq) with its detection rows, if any; an
+    ``epoch`` column of the frames resets at its changes."""
+    from pyspark.sql import functions as F
+
     from frameloom.operators.folds import fold_rows
 
     config = config or Config()
-    return fold_rows(detections, ["feed_id"], ["seq", "det_id"], lambda: FeedTracker(config), lambda s, r: s.step(r), TRACKS, lambda s: s.flush())
+    marks = frames.select("feed_id", "seq", *[c for c in ("epoch",) if c in frames.columns], F.lit(False).alias("detected"))
+    found = detections.select("feed_id", "seq", "det_id", "class_id", "conf", "x_min", "y_min", "x_max", "y_max", F.lit(True).alias("detected"))
+    rows = marks.unionByName(found, allowMissingColumns=True)
+    return fold_rows(rows, ["feed_id"], ["seq", "detected", "det_id"], lambda: FeedTracker(config), lambda s, r: s.step(r), TRACKS, lambda s: s.flush())

@@ -178,14 +178,19 @@ def st_end(t):
     return gone.select("feed_id", "track_id", (F.col("frame") + 1).alias("ended_at"), F.lit("TrackEnded").alias("closed_by"))
 
 
+def box_frames(t):
+    """Every frame of the feeds of moving_boxes, also those without a box."""
+    return t.observations.select("feed_id", F.floor(F.col("seq") / 4).alias("seq")).distinct()
+
+
 @query("trk_step")
 def trk_step(t):
-    return tracker.track(t.moving_boxes)
+    return tracker.track(t.moving_boxes, box_frames(t))
 
 
 @query("trk_reset")
 def trk_reset(t):
-    return tracker.track(t.moving_boxes.withColumn("epoch", F.floor(F.col("seq") / 100)))
+    return tracker.track(t.moving_boxes, box_frames(t).withColumn("epoch", F.floor(F.col("seq") / 100)))
 
 
 @query("trk_lifecycle", """WITH a AS (SELECT feed_id, track_id, seq, seq - lag(seq) OVER (PARTITION BY feed_id, track_id ORDER BY seq) - 1 AS away FROM observations),

@@ -129,6 +129,18 @@ def test_tracker_life():
     assert t.update(*boxes([0.1, 0.2, 0.3, 0.4]))[0][0] == 2  # ids go on
 
 
+def test_frames_without_detections_are_tracked(spark):
+    ddl = "feed_id long, seq long, det_id long, class_id long, conf double, x_min double, y_min double, x_max double, y_max double"
+    dets = spark.createDataFrame([(1, k, k, 0, 0.9, 0.1, 0.2, 0.3, 0.4) for k in (0, 1, 2, 3, 9, 10)], ddl)
+    frames = spark.range(12).select(F.lit(1).cast("long").alias("feed_id"), F.col("id").alias("seq"))
+    config = tracker.Config(output_tentative=True, max_age=4)
+    shown = lambda f: [(r.seq, r.track_id, r.state) for r in tracker.track(dets, f, config).orderBy("seq").collect()]
+    first = [(0, 1, "Tentative"), (1, 1, "Tentative"), (2, 1, "Confirmed"), (3, 1, "Confirmed"), (4, 1, "Coasted"), (5, 1, "Coasted")]
+    last = [(9, 2, "Tentative"), (10, 2, "Tentative"), (11, 2, "Coasted")]
+    assert shown(frames) == [*first, (6, 1, "Lost"), (7, 1, "Lost"), *last]
+    assert shown(frames.withColumn("epoch", F.floor(F.col("seq") / 6))) == [*first, *last]  # it changes on an empty frame
+
+
 def test_tracker_steps_match_their_formulas():
     rng = np.random.default_rng(3)
     x, p = rng.random((3, 7)), rng.random((3, 7, 7))
