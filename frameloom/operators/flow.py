@@ -16,6 +16,7 @@ from frameloom.operators.view import by_seq, so_far
 
 # Depths, batch limits and thresholds of an unconfigured system.
 QUEUE_DEPTH, BATCH_SIZE, BATCH_LATENCY_NS, THROTTLE_NS, LAG_NS = 4, 4, 50_000_000, 1_000_000_000, 2_000_000_000
+RESPONSE_NS = 5_000_000_000
 CHANNEL = 256
 
 
@@ -89,24 +90,82 @@ def batched(arrivals: DataFrame, size: int = BATCH_SIZE, latency_ns: int = BATCH
 
 
 @dataclass
-class InFlight:
-    """Submissions of one feed: at most ``cap`` unanswered."""
+class Coordinator:
+    """One processor's submissions from all feeds: at most ``cap`` unanswered of a feed, and a shared first-in,
+    first-out queue of ``capacity`` before a worker that gathers up to ``size`` items, or those within ``latency`` of
+    the first, and answers them together when the slowest of them is done. An item that its feed no longer waits for
+    stays in flight until then."""
 
     cap: int
-    pending: list = field(default_factory=list)
+    size: int
+    latency: int
+    capacity: int
+    timeout: int
+    free_at: int = 0
+    gathered_at: int = 0
+    deadline: int = 0
+    waiting: deque = field(default_factory=deque)
+    batch: list = field(default_factory=list)
+    in_flight: dict = field(default_factory=dict)  # by feed: items without a time of answer
+    answered: dict = field(default_factory=dict)  # by feed: times of answers to come
+
+    def _work(self, now: int | None) -> list[tuple]:
+        out = []
+        while self.batch or self.waiting:
+            if not self.batch:
+                begin = max(self.free_at, self.waiting[0]["arrival_ns"])
+                if now is not None and begin > now:
+                    break
+                self.gathered_at, self.deadline = begin, begin + self.latency
+            while self.waiting and len(self.batch) < self.size:
+                self.batch.append(self.waiting.popleft())
+                self.gathered_at = max(self.gathered_at, self.batch[-1]["arrival_ns"])
+            full = len(self.batch) >= self.size
+            if not full and now is not None and self.deadline > now:
+                break
+            out += self._answer(self.gathered_at if full else self.deadline)
+        return out
+
+    def _answer(self, begin: int) -> list[tuple]:
+        self.free_at = begin + max(r["service_ns"] for r in self.batch)
+        out = []
+        for r in self.batch:
+            feed = r["feed_id"]
+            self.in_flight[feed] -= 1
+            self.answered.setdefault(feed, []).append(self.free_at)
+            out.append((feed, r["seq"], "Timeout" if self.free_at - r["arrival_ns"] > self.timeout else "Accepted"))
+        self.batch = []
+        return out
 
     def submit(self, row: dict) -> list[tuple]:
-        self.pending = [d for d in self.pending if d > row["arrival_ns"]]
-        ok = len(self.pending) < self.cap
-        if ok:
-            self.pending.append(row["arrival_ns"] + row["service_ns"])
-        return [(row["feed_id"], row["seq"], "Accepted" if ok else "InFlightCapReached")]
+        """(feed_id, seq, outcome) of what is settled by this row's arrival."""
+        now, feed = row["arrival_ns"], row["feed_id"]
+        out = self._work(now)
+        self.answered[feed] = [d for d in self.answered.get(feed, ()) if d > now]
+        if self.in_flight.get(feed, 0) + len(self.answered[feed]) >= self.cap:
+            return [*out, (feed, row["seq"], "InFlightCapReached")]
+        if len(self.waiting) >= self.capacity:
+            return [*out, (feed, row["seq"], "QueueFull")]
+        self.in_flight[feed] = self.in_flight.get(feed, 0) + 1
+        self.waiting.append(row)
+        return out + self._work(now)
+
+    def close(self) -> list[tuple]:
+        return self._work(None)
 
 
-def submitted(arrivals: DataFrame, cap: int = 1) -> DataFrame:
+def submitted(arrivals: DataFrame, cap: int = 1, size: int = 1, latency_ns: int = BATCH_LATENCY_NS, capacity: int | None = None, response_ns: int = RESPONSE_NS) -> DataFrame:
+    """Outcomes of the submissions to each processor (``processor_id``; without that column all go to one)."""
     if cap < 1:
         raise ValueError("at least one submission must be in flight")
-    return fold_rows(arrivals, ["feed_id"], ["arrival_ns", "seq"], lambda: InFlight(cap), lambda s, r: s.submit(r), "feed_id long, seq long, outcome string")
+    if size < 1 or latency_ns <= 0 or response_ns <= 0:
+        raise ValueError("a batch needs a size, a latency and a time for its answer")
+    capacity = max(4 * size, 4) if capacity is None else capacity
+    if capacity < size:
+        raise ValueError("the queue must hold a batch")
+    rows = arrivals if "processor_id" in arrivals.columns else arrivals.withColumn("processor_id", F.lit(0))
+    start = lambda: Coordinator(cap, size, latency_ns, capacity, latency_ns + response_ns)
+    return fold_rows(rows, ["processor_id"], ["arrival_ns", "feed_id", "seq"], start, lambda s, r: s.submit(r), "feed_id long, seq long, outcome string", lambda s: s.close())
 
 
 @dataclass

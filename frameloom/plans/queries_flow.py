@@ -73,7 +73,7 @@ def strm_batch_form(t):
 
 @query("strm_batch_submit")
 def strm_batch_submit(t):
-    return flow.submitted(t.arrivals)
+    return flow.submitted(t.arrivals, size=flow.BATCH_SIZE)
 
 
 @query("strm_batch_exec", "SELECT processor_id, CASE WHEN ok THEN 'routed' ELSE 'failed' END AS outcome, cast(sum(size) AS bigint) AS items FROM batch_dispatches GROUP BY ALL")

@@ -242,6 +242,23 @@ def test_in_flight_cap(spark):
     assert [r.outcome for r in got] == ["Accepted", "InFlightCapReached", "Accepted", "InFlightCapReached", "Accepted"]
 
 
+def test_shared_queue_and_timeouts(spark):
+    s = 1_000_000_000
+    ddl = "feed_id long, seq long, arrival_ns long, service_ns long"
+    outcomes = lambda rows, **k: [r.outcome for r in flow.submitted(spark.createDataFrame(rows, ddl), **k).orderBy("feed_id", "seq").collect()]
+    # one item at work, four in the queue, no place for the sixth feed's until the first is answered
+    assert outcomes([(f, 0, f, 10) for f in range(6)]) == ["Accepted"] * 5 + ["QueueFull"]
+    assert outcomes([*[(f, 0, f, 10) for f in range(5)], (5, 0, 10, 10)]) == ["Accepted"] * 6
+    # a batch is answered with its slowest item; what times out stays in flight
+    assert outcomes([(1, 0, 0, 6 * s), (1, 1, 5 * s, 1), (1, 2, 6 * s, 1)]) == ["Timeout", "InFlightCapReached", "Accepted"]
+    assert outcomes([(1, 0, 0, 5 * s), (2, 0, 1, 1), (3, 0, 2, 1)], size=2, latency_ns=10) == ["Accepted", "Accepted", "Accepted"]
+    assert outcomes([(1, 0, 0, 5 * s), (2, 0, 1, 6 * s), (3, 0, 2, 1)], size=2, latency_ns=10) == ["Timeout", "Timeout", "Timeout"]
+    # a batch that is not full waits for its latency
+    assert outcomes([(1, 0, 0, 5), (1, 1, 14, 1), (1, 2, 15, 1)], size=2, latency_ns=10) == ["Accepted", "InFlightCapReached", "Accepted"]
+    with pytest.raises(ValueError):
+        flow.submitted(spark.createDataFrame([(1, 0, 0, 1)], ddl), size=8, capacity=4)
+
+
 def test_source_states(spark):
     kinds = ["StreamStarted", "Error", "Error", "StreamStarted", "Pause", "Resume", "Eos", "StreamStarted"]
     rows = spark.createDataFrame([(1, k, k, kind, False) for k, kind in enumerate(kinds)], "feed_id long, ts_ns long, event_id long, kind string, loops boolean")
