@@ -1,7 +1,8 @@
 """The temporal store: bounded per-feed track histories with admission, eviction, retention and ends.
 
-``TrackStore`` is the plain fold of one feed; ``commits`` replays observation rows through it. Where a feed never
-holds more tracks than the cap, ``window_retained`` gives the same from windows alone.
+``TrackStore`` is the plain fold of one feed; ``commits`` replays observation rows through it and ``retained`` tells
+what is left at the end. Where a feed never holds more tracks than the cap, ``window_retained`` gives the same from
+windows alone.
 """
 
 from __future__ import annotations
@@ -100,6 +101,31 @@ def commits(points: DataFrame, retention: Retention | None = None) -> DataFrame:
     return fold_rows(points, ["feed_id"], ["seq"], lambda: TrackStore(retention), commit_row, COMMITS)
 
 
+@dataclass
+class Held:
+    """A fold over a feed's rows that gives what its store holds at the end."""
+
+    store: TrackStore
+    feed: int | None = None
+
+    def step(self, row: dict) -> list[tuple]:
+        self.feed = row["feed_id"]
+        commit_row(self.store, row)
+        return []
+
+    def close(self) -> list[tuple]:
+        return [(self.feed, k, len(h.observations), h.points) for k, h in self.store.tracks.items()]
+
+
+def retained(points: DataFrame, retention: Retention | None = None) -> DataFrame:
+    """Each track's latest row, whether the store holds it at its feed's end, and how much of it; by all rules: age of
+    lost tracks, cap with eviction and rejection, and pruning."""
+    ddl = "feed_id long, track_id long, n_observations long, n_points long"
+    held = fold_rows(points, ["feed_id"], ["seq", "track_id"], lambda: Held(TrackStore(retention)), lambda s, r: s.step(r), ddl, lambda s: s.close())
+    rows = window_retained(points, retention).drop("kept").join(held, ["feed_id", "track_id"], "left")
+    return rows.withColumn("kept", F.col("n_points").isNotNull())
+
+
 def window_retained(points: DataFrame, retention: Retention | None = None) -> DataFrame:
     """Each track's latest row and whether retention keeps it at its feed's end; needs no more tracks than the cap."""
     r = retention or Retention()

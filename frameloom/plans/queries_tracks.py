@@ -122,7 +122,7 @@ def top_evict_cap(t):
 
 @query("st_retention", f"WITH {LATEST} SELECT feed_id, track_id, state <> 'Lost' OR end_ns - ts_ns < 30000000000 AS kept FROM l")
 def st_retention(t):
-    return store.window_retained(t.track_points).select("feed_id", "track_id", "kept")
+    return store.retained(t.track_points).select("feed_id", "track_id", "kept")
 
 
 @query("st_commit")

@@ -1,9 +1,12 @@
 """Golden values of single operators, and folds against plain Python and streams."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from frameloom import registry
 from frameloom.functions import clock, pixels, text
 from frameloom.functions.geometry import Box, angular_delta, clamp_unit
 from frameloom.operators import association, flow, store, tracker, trajectory, view
@@ -174,6 +177,16 @@ def test_store_rules():
     assert s.retain(50) == [] and s.retain(104) == [1] and s.end_absent({9}) == [3]
 
 
+def test_retention_with_more_tracks_than_the_cap(spark):
+    ids = spark.range(502)  # the first goes for the 501st; for the 502nd none may go
+    state = F.when(F.col("id") == 0, "Tentative").otherwise("Confirmed")
+    rows = ids.select(F.lit(1).cast("long").alias("feed_id"), F.col("id").alias("seq"), F.col("id").alias("track_id"), F.col("id").alias("det_id"), F.col("id").alias("ts_ns"), state.alias("state"), F.lit(0).cast("long").alias("epoch"))
+    got = registry.queries_tracks.st_retention(SimpleNamespace(track_points=rows)).collect()
+    assert len(got) == 502 and sorted(r.track_id for r in got if not r.kept) == [0, 501]
+    few = store.retained(rows, store.Retention(max_tracks=2, lost_age_ns=100)).filter("kept").collect()
+    assert sorted((r.track_id, r.n_observations, r.n_points) for r in few) == [(1, 1, 1), (2, 1, 1)]
+
+
 def arrivals(spark, rows):
     return spark.createDataFrame([(1, k, a, s) for k, (a, s) in enumerate(rows)], "feed_id long, seq long, arrival_ns long, service_ns long")
 
