@@ -3,7 +3,8 @@
 Byte trigrams of the labelled documents give each language's trigram distribution, counted over all of them in hashed
 cells and summed by aggregation. For a document, expectation-maximisation estimates the proportions of the languages
 that best explain its trigrams. The language set is the one, among the most likely 1, 2, ... languages, with the best
-likelihood less a penalty per language; the prediction is the set's most likely language.
+likelihood less a penalty per language. The proportions are then fitted again over the set alone, until none moves by
+more than TOLERANCE in a step; the prediction is the set's most likely language, the score its proportion.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a null or missing lang teaches nothing;
 with no language learned every text is ``und``; equal proportions go to the first language by name; rows with the same
@@ -27,6 +28,7 @@ CELLS = 1 << 15
 #: Cells of a language's counts that travel in one row.
 STRIP = 1 << 12
 STEPS = 8
+TOLERANCE = 1e-4
 #: Cost of each language in the set, times the logarithm of the number of trigrams.
 PENALTY = 4.0
 SMOOTHING = 0.5
@@ -96,7 +98,7 @@ class Languages:
         return share
 
     def choose(self, cells: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Proportions, languages by falling proportion, and the size of the set with the best penalised likelihood."""
+        """Proportions over the set with the best penalised likelihood, languages by falling proportion, and its size."""
         share = self.proportions(cells, first)
         order = np.argsort(-share, axis=1, kind="stable")
         n = np.diff(first)
@@ -110,7 +112,27 @@ class Languages:
             value = np.add.reduceat(fit, first[:-1], dtype=np.float64) - PENALTY * m * np.log(n + 1)
             better = value > best
             best[better], size[better] = value[better], m
-        return share, order, size
+        chosen = np.argsort(order, axis=1) < size[:, None]
+        share = self.refitted(cells, first, np.where(chosen, share, 0))
+        return share, np.argsort(np.where(chosen, -share, 1), axis=1, kind="stable"), size
+
+    def refitted(self, cells: np.ndarray, first: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Proportions fitted over the languages that have some in ``share``, from there to TOLERANCE."""
+        share = share / share.sum(axis=1, keepdims=True, dtype=np.float64)
+        going = np.flatnonzero((share > 0).sum(axis=1) > 1)
+        while len(going):
+            n = np.diff(first)[going]
+            begin = np.cumsum(n) - n
+            p = self.p[cells[np.repeat(first[:-1][going] - begin, n) + np.arange(n.sum())]]
+            moved = np.ones(len(going), dtype=bool)
+            while moved.all():
+                duty = p * np.repeat(share[going], n, axis=0)
+                duty /= duty.sum(axis=1, keepdims=True)
+                new = np.add.reduceat(duty, begin, axis=0) / n[:, None]
+                moved = np.abs(new - share[going]).max(axis=1) > TOLERANCE
+                share[going] = new
+            going = going[moved]
+        return share
 
 
 def learn(docs: DataFrame) -> Languages:

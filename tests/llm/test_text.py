@@ -43,6 +43,22 @@ def test_language_mixture_set(spark):
     assert got[2].langs == "en" and got[2].score > 0.9
 
 
+def test_language_proportions_are_those_of_the_chosen_set():
+    rng = np.random.default_rng(5)
+    model = language_id.Languages(["a", "b", "c"], rng.integers(0, 50, (3, language_id.CELLS)) * (rng.random((3, language_id.CELLS)) < 0.5))
+    draw = lambda k, n: rng.choice(language_id.CELLS, n, p=model.p[:, k] / model.p[:, k].sum(dtype=float))
+    texts = [draw(0, 40), np.concatenate([draw(1, 900), draw(2, 700)]), draw(2, 300)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    share, order, size = model.choose(np.concatenate(texts), first)
+    assert size.tolist() == [1, 2, 1] and order[:, 0].tolist() == [0, 1, 2]
+    for x, s, o, m in zip(texts, share, order, size, strict=True):
+        want, p = np.full(m, 1 / m), model.p[x][:, o[:m]].astype(float)
+        for _ in range(500):
+            duty = p * want
+            want = (duty / duty.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert np.allclose(s[o[:m]], want, atol=1e-3) and np.allclose(s[o[m:]], 0)
+
+
 def test_quality_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     found = queries.op8_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
