@@ -204,7 +204,8 @@ def top_nms(t):
 
 @query("flt_conf_decode", "SELECT vec_id, cast(row_number() OVER (PARTITION BY vec_id ORDER BY k) AS bigint) + 99 AS det_id, round(e[k * 6 + 1], 6) AS x1, round(e[k * 6 + 5], 6) AS conf FROM (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:60]] AS e, unnest(range(10)) AS k FROM embeddings) WHERE NOT e[k * 6 + 5] < 0.05e0")
 def flt_conf_decode(t):
-    rows = t.embeddings.select("vec_id", F.slice("embedding", 1, 60).cast("array<double>").alias("tensor"))
+    n = F.size("embedding")  # whole boxes of six values
+    rows = t.embeddings.select("vec_id", F.slice("embedding", F.lit(1), n - n % 6).cast("array<double>").alias("tensor"))
     return association.decode_tensor(rows, "tensor", 0.05, 100).select("vec_id", "det_id", r6(F.col("x1"), "x1"), r6(F.col("conf"), "conf"))
 
 

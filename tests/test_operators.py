@@ -119,6 +119,12 @@ def test_tensor_decoding(spark):
     assert [(r.seq, r.det_id, r.class_id) for r in got] == [(1, 10, 2.0), (1, 11, 1.0)]
 
 
+def test_vectors_of_any_length_are_decoded_whole(spark):
+    rows = spark.createDataFrame([(1, [0.5] * 76), (2, [0.5] * 64), (3, [0.5] * 5), (4, [])], "vec_id long, embedding array<float>")
+    got = registry.queries_frames.flt_conf_decode(SimpleNamespace(embeddings=rows)).groupBy("vec_id").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 12), (2, 10)]
+
+
 def boxes(*rows):
     return np.array(rows, dtype=float), np.zeros(len(rows), int), np.arange(len(rows)), np.full(len(rows), 0.9)
 
