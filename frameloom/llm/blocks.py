@@ -3,14 +3,16 @@
 Documents are packed once into blocks of a few megabytes, written as a shared table. A phase asks, for each of its
 keys (hashes of places in the texts), whether another document has that key too. Blocks send each key once, so what
 a hot key costs follows the number of blocks and not of its occurrences. Keys travel as packed arrays by bucket,
-and the answers come back as bits in the order sent. The number of buckets follows the number of keys.
+and the answers come back as bits in the order sent. The number of buckets follows the number of keys, and a block
+sends a row for each bucket that its keys occur in, so it never sends more rows than keys.
+
+A document's rank is the pair (late, id): a null doc_id is late, and comes after every id there is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,9 @@ from frameloom.llm.storage import text_column
 BLOCK_BYTES = 2 << 20
 #: Keys per bucket, about.
 BUCKET_KEYS = 1 << 20
-NULL_ID = (1 << 63) - 1  # a null doc_id sorts after all others
-BLOCKS = "block_id long, ids binary, sizes binary, text binary, note binary"
-QUESTIONS = "bucket int, block_id long, keys binary, more binary, whole binary"
-ANSWERS = "block_id long, bucket int, keys binary, whole binary"
+BLOCKS = "block_id long, ids binary, late binary, sizes binary, text binary, note binary"
+QUESTIONS = "bucket long, block_id long, keys binary, more binary"
+ANSWERS = "block_id long, bucket long, keys binary"
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
@@ -71,10 +72,43 @@ def map_rows(df: DataFrame, f: Callable[[Iterator[dict]], Iterator[tuple]], ddl:
     return df.mapInArrow(run, ddl)
 
 
+@dataclass
+class Ranks:
+    """Ranks of documents; ``ids`` is 0 where ``late``."""
+
+    late: np.ndarray
+    ids: np.ndarray
+
+    def take(self, which: np.ndarray) -> Ranks:
+        return Ranks(self.late[which], self.ids[which])
+
+    def after(self, other: Ranks) -> np.ndarray:
+        return (self.late & ~other.late) | ((self.late == other.late) & (self.ids > other.ids))
+
+    def thin(self) -> bytes:
+        """Ids as offsets from the least, in the narrowest type that holds them: width, base, offsets, then late bits."""
+        base = int(self.ids.min())
+        span = int(self.ids.max()) - base
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if span <= np.iinfo(k).max)
+        late = np.packbits(self.late).tobytes() if self.late.any() else b""
+        return bytes([np.dtype(kind).itemsize]) + np.int64(base).tobytes() + (self.ids - base).astype(kind).tobytes() + late
+
+    @classmethod
+    def thick(cls, raw: bytes, n: int) -> Ranks:
+        cut = 9 + raw[0] * n
+        ids = np.frombuffer(raw[9:cut], f"u{raw[0]}").astype(np.int64) + np.frombuffer(raw[1:9], np.int64)[0]
+        late = np.unpackbits(np.frombuffer(raw[cut:], np.uint8), count=n).astype(bool) if len(raw) > cut else np.zeros(n, bool)
+        return cls(late, ids)
+
+    @classmethod
+    def joined(cls, parts: list[Ranks]) -> Ranks:
+        return cls(np.concatenate([p.late for p in parts]), np.concatenate([p.ids for p in parts]))
+
+
 @dataclass
 class Block:
     block_id: int
-    ids: np.ndarray
+    ranks: Ranks
     offsets: np.ndarray
     data: np.ndarray
     note: bytes
@@ -83,12 +117,16 @@ class Block:
     def of(cls, row: dict) -> Block:
         sizes = np.frombuffer(row["sizes"], np.int64)
         data = np.frombuffer(zstandard.decompress(row["text"], max_output_size=int(sizes.sum()) or 1), np.uint8)
-        return cls(row["block_id"], np.frombuffer(row["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)]), data, row["note"])
+        ranks = Ranks(np.frombuffer(row["late"], bool), np.frombuffer(row["ids"], np.int64))
+        return cls(row["block_id"], ranks, np.concatenate([[0], np.cumsum(sizes)]), data, row["note"])
 
-    def whole(self) -> np.ndarray:
-        """128-bit digests of the texts, as pairs of uint64."""
-        raw, at = self.data.tobytes(), self.offsets
-        return np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)), U64).reshape(-1, 2)
+    def noting(self, note: bytes) -> tuple:
+        """A row of BLOCKS: this block with another note."""
+        text = zstandard.ZstdCompressor(level=1).compress(self.data.tobytes())
+        return self.block_id, self.ranks.ids.tobytes(), self.ranks.late.tobytes(), np.diff(self.offsets).tobytes(), text, note
+
+    def doc_ids(self) -> list[int | None]:
+        return [None if late else i for late, i in zip(self.ranks.late.tolist(), self.ranks.ids.tolist(), strict=True)]
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -97,12 +135,12 @@ def pack(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for rows in rows_within(batch, "text", BLOCK_BYTES):
                 data, offsets = text_buffers(rows.column("text"))
-                ids = rows.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                yield _as_batch([((part << 32) + n, ids.tobytes(), np.diff(offsets).tobytes(), squeeze.compress(data.tobytes()), b"")], schema)
+                ids = rows.column("doc_id")
+                ranks = Ranks(ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False))
+                yield _as_batch([Block((part << 32) + n, ranks, offsets, data, b"").noting(b"")], schema)
                 n += 1
 
     return text_column(docs, {"doc_id": "long", "text": "string"}).mapInArrow(run, BLOCKS)
@@ -119,12 +157,13 @@ def buckets_for(blocks: DataFrame, keys_per_byte: float) -> int:
 
 @dataclass
 class Sent:
-    """A block's keys by bucket: ``bounds`` cut ``keys`` (uint32, ascending in each bucket), ``place`` leads from the
-    original order to them."""
+    """A block's keys by bucket: those of ``buckets[k]`` are ``keys[bounds[k]:bounds[k + 1]]`` (uint32, ascending),
+    ``place`` leads from the original order to them."""
 
     keys: np.ndarray
     place: np.ndarray
     several: np.ndarray
+    buckets: np.ndarray
     bounds: np.ndarray
 
     @classmethod
@@ -134,25 +173,24 @@ class Sent:
         low, high = np.full(len(keys), 1 << 62), np.full(len(keys), -1)
         np.minimum.at(low, place, docs)
         np.maximum.at(high, place, docs)
-        bounds = np.searchsorted(keys, np.arange(n_buckets + 1, dtype=U64) << U64(32))
-        return cls((keys & U64(0xFFFFFFFF)).astype(np.uint32), place, low != high, bounds)
+        buckets, bounds = occurring(keys >> U64(32))
+        return cls((keys & U64(0xFFFFFFFF)).astype(np.uint32), place, low != high, buckets, bounds)
 
 
-def whole_buckets(whole: np.ndarray, n_buckets: int) -> np.ndarray:
-    return ((whole[:, 0] >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
+def occurring(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ascending array, and where each begins (one more entry: the end)."""
+    new = np.ones(len(bucket), dtype=bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    begin = np.flatnonzero(new)
+    return bucket[begin].astype(np.int64), np.append(begin, len(bucket))
 
 
 def ask(block: Block, hashes: np.ndarray, docs: np.ndarray, n_buckets: int) -> Iterator[tuple]:
-    """Rows of QUESTIONS: is each key shared with another document, and has a smaller doc_id the same whole text?"""
+    """Rows of QUESTIONS: is each key shared with another document?"""
     sent = Sent.of(hashes, docs, n_buckets)
-    whole = block.whole()
-    order = np.argsort(where := whole_buckets(whole, n_buckets), kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        i, j = sent.bounds[b], sent.bounds[b + 1]
-        own = order[cuts[b] : cuts[b + 1]]
-        if i < j or len(own):
-            yield b, block.block_id, sent.keys[i:j].tobytes(), np.packbits(sent.several[i:j]).tobytes(), whole[own].tobytes() + block.ids[own].tobytes()
+    for k, b in enumerate(sent.buckets.tolist()):
+        i, j = sent.bounds[k], sent.bounds[k + 1]
+        yield b, block.block_id, sent.keys[i:j].tobytes(), np.packbits(sent.several[i:j]).tobytes()
 
 
 def answer(rows: Iterator[dict]) -> Iterator[tuple]:
@@ -167,27 +205,26 @@ def answer(rows: Iterator[dict]) -> Iterator[tuple]:
         shared = several.astype(bool)
         shared[order[1:][same]] = True
         shared[order[:-1][same]] = True
-        n_whole = [len(r["whole"]) // 24 for r in group]
-        digests = np.concatenate([np.frombuffer(r["whole"][: 16 * n], U64) for r, n in zip(group, n_whole, strict=True)]).reshape(-1, 2)
-        ids = np.concatenate([np.frombuffer(r["whole"][16 * n :], np.int64) for r, n in zip(group, n_whole, strict=True)])
-        older = above_least(ids, digests[:, 1], digests[:, 0])
-        begin, at = 0, 0
-        for r, end, n in zip(group, ends, n_whole, strict=True):
-            yield r["block_id"], r["bucket"], np.packbits(shared[begin:end]).tobytes(), np.packbits(older[at : at + n]).tobytes()
-            begin, at = end, at + n
-
-
-def above_least(ids: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each element: whether another with equal keys has a smaller id."""
-    if not len(ids):
-        return np.zeros(0, bool)
-    order = np.lexsort((ids, *keys))
-    new = np.ones(len(ids), dtype=bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(ids), dtype=bool)
-    out[order] = ids[order] > least
-    return out
+        begin = 0
+        for r, end in zip(group, ends, strict=True):
+            yield r["block_id"], r["bucket"], np.packbits(shared[begin:end]).tobytes()
+            begin = end
+
+
+def least_of_runs(ranks: Ranks, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run, the element of least rank; and for each element, the position of its run among those."""
+    order = np.lexsort((ranks.ids, ranks.late, run))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = run[order][1:] != run[order][:-1]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
+def after_least(ranks: Ranks, run: np.ndarray) -> np.ndarray:
+    """For each element: whether another of its run has a lesser rank."""
+    head, place = least_of_runs(ranks, run)
+    return ranks.after(ranks.take(head[place]))
 
 
 def grouped(rows: Iterable[dict], key: str) -> Iterator[list[dict]]:
@@ -201,17 +238,20 @@ def grouped(rows: Iterable[dict], key: str) -> Iterator[list[dict]]:
         yield held
 
 
-def heard(block: Block, answers: list[dict], hashes: np.ndarray, docs: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each hash whether it is shared, and for each text whether an older document has the same."""
-    sent, whole = Sent.of(hashes, docs, n_buckets), block.whole()
-    where = whole_buckets(whole, n_buckets)
-    shared, older = np.zeros(len(sent.keys), bool), np.zeros(len(block.ids), bool)
-    for r in answers:
-        i, j = sent.bounds[r["bucket"]], sent.bounds[r["bucket"] + 1]
+def heard(block: Block, answers: list[dict], hashes: np.ndarray, docs: np.ndarray, n_buckets: int) -> np.ndarray:
+    """For each hash whether it is shared."""
+    sent = Sent.of(hashes, docs, n_buckets)
+    shared = np.zeros(len(sent.keys), bool)
+    for r, i, j in bounded(answers, sent.buckets, sent.bounds):
         shared[i:j] = np.unpackbits(np.frombuffer(r["keys"], np.uint8), count=j - i)
-        own = np.flatnonzero(where == r["bucket"])
-        older[own] = np.unpackbits(np.frombuffer(r["whole"], np.uint8), count=len(own))
-    return shared[sent.place], older
+    return shared[sent.place]
+
+
+def bounded(answers: list[dict], buckets: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[dict, int, int]]:
+    """Each answer, and where what it answers begins and ends."""
+    at = np.searchsorted(buckets, np.array([r["bucket"] for r in answers], dtype=np.int64))
+    for r, k in zip(answers, at.tolist(), strict=True):
+        yield r, bounds[k], bounds[k + 1]
 
 
 def by_bucket(questions: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ A repeated passage of WINDOW words is found without hashing each of its places a
 only of ANCHOR-word windows that start at cover positions, those whose place in the document modulo PERIOD is in
 COVER. The differences of COVER's elements are all residues, so two copies of a passage, wherever they start, have an
 anchor at the same distance from their starts. Anchors that several documents share mark candidates; each candidate
-is then extended to the whole window, and windows are compared by 96 bits of independent hashes.
+is then extended to the whole window, and windows are compared by 96 bits of independent hashes. Texts that repeat
+whole take the same way; a block sends each distinct window once, so a copied text costs a window per block.
 
 Defined results: a null text has no words; a null doc_id sorts after all others; rows with the same doc_id are not
-smaller than each other, so neither removes the other's words; a text that an older document repeats whole loses all
-its words if it has WINDOW of them; no rows give no rows.
+smaller than each other, so neither removes the other's words; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 #: Keys per byte of text at most, about: anchors of words of some six bytes.
 DENSITY = len(COVER) / PERIOD / 6
-WINDOWS = "bucket int, block_id long, keys binary, more binary, ids binary"
+WINDOWS = "bucket long, block_id long, keys binary, more binary, ranks binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -40,45 +40,32 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, window_hashes(h, ANCHOR)[at]
 
 
-def candidates(words: Words, shared_at: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a shared anchor; ``skip`` marks texts to leave out."""
+def candidates(words: Words, shared_at: np.ndarray) -> np.ndarray:
+    """Starts of the windows that hold a shared anchor."""
     n = int(words.first[-1])
     marks = np.zeros(n + PERIOD + 1, dtype=np.int64)
     marks[shared_at + 1] = 1
     seen = np.cumsum(marks)
     inside = window_inside(words.first, n, WINDOW)
     near = seen[PERIOD : PERIOD + len(inside)] > seen[: len(inside)]
-    return np.flatnonzero(inside & near & ~np.repeat(skip, words.counts())[: len(inside)])
+    return np.flatnonzero(inside & near)
 
 
 class Windows:
-    """A block's candidate windows as sent: each distinct one once, with the smallest doc_id that has it here."""
+    """A block's candidate windows as sent: each distinct one once, with the least rank that has it here."""
 
     def __init__(self, block: B.Block, words: Words, at: np.ndarray, n_buckets: int):
-        self.ids = block.ids[words.doc()[at]]
+        self.ranks = block.ranks.take(words.doc()[at])
         wide = window_hashes(words.hashes(), WINDOW)[at]
         narrow = window_hashes(words.hashes(SEEDS[1]), WINDOW, SEEDS[1])[at] & U64(0xFFFFFFFF)
-        bucket = (wide >> U64(32)) * U64(n_buckets) >> U64(32)
-        order = np.lexsort((self.ids, narrow, wide, bucket))
+        order = np.lexsort((self.ranks.ids, self.ranks.late, narrow, wide))  # buckets ascend with wide
         new = np.ones(len(order), dtype=bool)
         new[1:] = (wide[order][1:] != wide[order][:-1]) | (narrow[order][1:] != narrow[order][:-1])
         self.place = np.empty(len(order), dtype=np.int64)
         self.place[order] = np.cumsum(new) - 1
         first = order[new]
-        self.wide, self.narrow, self.least = wide[first], narrow[first].astype(np.uint32), self.ids[first]
-        self.bounds = np.searchsorted(bucket[first], np.arange(n_buckets + 1, dtype=U64))
-
-
-def thin(ids: np.ndarray) -> bytes:
-    """Ids as offsets from the least, in the narrowest type that holds them: width, base, offsets."""
-    base = int(ids.min())
-    span = int(ids.max()) - base
-    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if span <= np.iinfo(k).max)
-    return bytes([np.dtype(kind).itemsize]) + np.int64(base).tobytes() + (ids - base).astype(kind).tobytes()
-
-
-def thick(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw[9:], f"u{raw[0]}").astype(np.int64) + np.frombuffer(raw[1:9], np.int64)[0]
+        self.wide, self.narrow, self.least = wide[first], narrow[first].astype(np.uint32), self.ranks.take(first)
+        self.buckets, self.bounds = B.occurring((self.wide >> U64(32)) * U64(n_buckets) >> U64(32))
 
 
 def _ask_anchors(n_buckets: int):
@@ -92,39 +79,31 @@ def _ask_anchors(n_buckets: int):
 
 
 def _note(n_buckets: int):
-    """Each block again, noting its candidate windows and the texts that an older document repeats whole."""
+    """Each block again, noting its candidate windows."""
 
     def run(block: B.Block, answers: list[dict]) -> Iterator[tuple]:
-        import zstandard
-
         words = Words(block.data, block.offsets)
         at, hashes = anchors(words)
-        shared, older = B.heard(block, answers, hashes, words.doc()[at], n_buckets)
+        shared = B.heard(block, answers, hashes, words.doc()[at], n_buckets)
         found = np.zeros(int(words.first[-1]), dtype=bool)
-        found[candidates(words, at[shared], older)] = True
-        note = np.packbits(older).tobytes() + np.packbits(found).tobytes()
-        text = zstandard.ZstdCompressor(level=1).compress(block.data.tobytes())
-        yield block.block_id, block.ids.tobytes(), np.diff(block.offsets).tobytes(), text, note
+        found[candidates(words, at[shared])] = True
+        yield block.noting(np.packbits(found).tobytes())
 
     return run
 
 
-def _noted(block: B.Block, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    cut = (len(block.ids) + 7) // 8
-    bits = np.frombuffer(block.note, np.uint8)
-    older = np.unpackbits(bits[:cut], count=len(block.ids)).astype(bool)
-    return older, np.flatnonzero(np.unpackbits(bits[cut:], count=int(words.first[-1])))
+def _noted(block: B.Block, words: Words) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(block.note, np.uint8), count=int(words.first[-1])))
 
 
 def _ask_windows(n_buckets: int):
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         for block in map(B.Block.of, rows):
             words = Words(block.data, block.offsets)
-            own = Windows(block, words, _noted(block, words)[1], n_buckets)
-            for b in range(n_buckets):
-                i, j = own.bounds[b], own.bounds[b + 1]
-                if i < j:
-                    yield b, block.block_id, own.wide[i:j].tobytes(), own.narrow[i:j].tobytes(), thin(own.least[i:j])
+            own = Windows(block, words, _noted(block, words), n_buckets)
+            for k, b in enumerate(own.buckets.tolist()):
+                i, j = own.bounds[k], own.bounds[k + 1]
+                yield b, block.block_id, own.wide[i:j].tobytes(), own.narrow[i:j].tobytes(), own.least.take(slice(i, j)).thin()
 
     return run
 
@@ -133,30 +112,32 @@ def _answer_windows(rows: Iterator[dict]) -> Iterator[tuple]:
     for group in B.grouped(rows, "bucket"):
         wide = np.concatenate([np.frombuffer(r["keys"], U64) for r in group])
         narrow = np.concatenate([np.frombuffer(r["more"], np.uint32) for r in group])
-        older = B.above_least(np.concatenate([thick(r["ids"]) for r in group]), narrow, wide)
+        order = np.lexsort((narrow, wide))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (wide[order][1:] != wide[order][:-1]) | (narrow[order][1:] != narrow[order][:-1])
+        run = np.empty(len(order), dtype=np.int64)
+        run[order] = np.cumsum(new)
+        later = B.after_least(B.Ranks.joined([B.Ranks.thick(r["ranks"], len(r["keys"]) // 8) for r in group]), run)
         at = 0
         for r in group:
             n = len(r["keys"]) // 8
-            yield r["block_id"], r["bucket"], np.packbits(older[at : at + n]).tobytes()
+            yield r["block_id"], r["bucket"], np.packbits(later[at : at + n]).tobytes()
             at += n
 
 
 def _remove(n_buckets: int, with_text: bool):
     def run(block: B.Block, answers: list[dict]) -> Iterator[tuple]:
         words = Words(block.data, block.offsets)
-        older, at = _noted(block, words)
+        at = _noted(block, words)
         own = Windows(block, words, at, n_buckets)
         flags = np.zeros(len(own.wide), dtype=bool)
-        for r in answers:
-            i, j = own.bounds[r["bucket"]], own.bounds[r["bucket"] + 1]
+        for r, i, j in B.bounded(answers, own.buckets, own.bounds):
             flags[i:j] = np.unpackbits(np.frombuffer(r["keys"], np.uint8), count=j - i)
-        gone = at[flags[own.place] | (own.ids > own.least[own.place])]
-        counts = words.counts()
+        gone = at[flags[own.place] | own.ranks.after(own.least.take(own.place))]
         edges = np.zeros(int(words.first[-1]) + 1, dtype=np.int64)
         np.add.at(edges, gone, 1)
         np.add.at(edges, gone + WINDOW, -1)
-        removed = (np.cumsum(edges)[:-1] > 0) | np.repeat(older & (counts >= WINDOW), counts)
-        yield from _results(block, words, removed, with_text)
+        yield from _results(block, words, np.cumsum(edges)[:-1] > 0, with_text)
 
     return run
 
@@ -173,9 +154,9 @@ def _results(block: B.Block, words: Words, removed: np.ndarray, with_text: bool)
     sizes = np.concatenate([[0], np.cumsum(mask)])[block.offsets]
     raw = clean[mask].tobytes()
     n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[words.first])
-    for k, (i, n, gone) in enumerate(zip(block.ids.tolist(), words.counts().tolist(), n_removed.tolist(), strict=True)):
+    for k, (i, n, gone) in enumerate(zip(block.doc_ids(), words.counts().tolist(), n_removed.tolist(), strict=True)):
         text = raw[sizes[k] : sizes[k + 1]]
-        yield None if i == B.NULL_ID else i, n, gone, sha256(text).hexdigest(), text.decode() if with_text else None
+        yield i, n, gone, sha256(text).hexdigest(), text.decode() if with_text else None
 
 
 def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -187,6 +168,6 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     noted = scratch.keep(B.meet(packed, answers, _note(n), B.BLOCKS), "noted", "uncompressed")
     scratch.drop("blocks")
     asked = B.map_rows(noted, _ask_windows(n), WINDOWS)
-    answers = B.map_rows(B.by_bucket(asked), _answer_windows, "block_id long, bucket int, keys binary")
+    answers = B.map_rows(B.by_bucket(asked), _answer_windows, B.ANSWERS)
     out = B.meet(noted, answers, _remove(n, with_text), RESULT)
     return out if with_text else out.drop("kept_text")

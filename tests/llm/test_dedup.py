@@ -1,13 +1,14 @@
 """Deduplication operators against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from frameloom.llm import exact_dedup, minhash_dedup, substring_dedup, suffix_dedup
+from frameloom.llm import blocks, exact_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from frameloom.llm.components import components
 from frameloom.llm.storage import Scratch
 
@@ -100,14 +101,85 @@ def test_suffix_dedup_handles_long_texts(docs):
     assert {r.n_bytes for r in suffix_dedup.suffix_dedup(docs).filter("n_bytes > 100000").collect()} == {149_999}
 
 
-def test_multikey_runs_are_equal_rows():
+@pytest.mark.parametrize("size", [0, 1, 500, 20_000])
+def test_multikey_quicksort_numbers_runs_in_order(size):
     rng = np.random.default_rng(1)
-    rows = rng.integers(0, 3, (500, 4)).astype(np.uint64)
-    run = suffix_dedup.multikey_runs(rows)
-    seen = {}
-    for r, k in zip(map(tuple, rows.tolist()), run.tolist(), strict=True):
-        assert seen.setdefault(r, k) == k
-    assert len(set(seen.values())) == len(seen)
+    rows = rng.integers(0, 6, (size, 6)).astype(np.uint64)
+    run = suffix_dedup.multikey_quicksort(rows).tolist()
+    numbers = {r: k for k, r in enumerate(sorted(set(map(tuple, rows.tolist()))))}
+    assert run == [numbers[tuple(r)] for r in rows.tolist()]
+
+
+@pytest.mark.parametrize("strings", [64, 1 << 16])
+def test_suffix_dedup_with_one_lead_before_many_continuations(spark, monkeypatch, strings):
+    """Each text starts a passage with the same bytes; most go on differently, some are copies."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_SUFFIXES", 64)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_STRINGS", strings)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1 << 12)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(k, word(30) + "the very same leading bytes of all" + word(40)) for k in range(1500)]
+    rows += [(5000 + k, rows[rng.randrange(1500)][1][rng.randrange(10) :]) for k in range(300)]
+    rows += [(9000 + k, "head " + "the very same leading bytes of all, and what follows them is the same too " * 2) for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    want = Counter((r[0], sum(gone)) for r, _, gone in removed_units(rows, lambda r: r[1].encode(), 50))
+    assert Counter((r.doc_id, r.n_removed) for r in suffix_dedup.suffix_dedup(df, with_bytes=False).collect()) == want
+
+
+def test_suffix_dedup_strings_dealt_over_buckets():
+    """Strings that are several splitters are dealt by block; the least rank is found across those buckets."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(97, 99, (40, suffix_dedup.WINDOW + 1)).astype(np.uint8)
+    rows[10:] = rows[10]
+    names = np.sort(suffix_dedup.as_strings(rows))
+    splits = suffix_dedup.Splits(names[:0], 1, names[:0], names)
+    assert len(splits.dealt) == 1
+    where = {int(splits.of_strings(suffix_dedup.as_strings(rows[10:11]), block)[0]) for block in range(500)}
+    low = int(np.searchsorted(names, splits.dealt[0]))
+    assert where == set(range(splits.n_cold + low + 1, splits.n_cold + low + 31))
+
+
+@pytest.mark.parametrize("n_buckets", [10, 10**6, 10**9])
+def test_a_block_sends_no_more_rows_than_it_has_keys(n_buckets):
+    data = np.random.default_rng(0).integers(97, 123, 20_000).astype(np.uint8)
+    block = blocks.Block(1, blocks.Ranks(np.zeros(1, bool), np.zeros(1, np.int64)), np.array([0, len(data)]), data, b"")
+    own = suffix_dedup.places(block)
+    sent = list(blocks.ask(block, own.hashes, suffix_dedup.doc_of(block, own.at), n_buckets))
+    assert len(sent) <= min(n_buckets, len(own.at)) and sum(len(r[2]) for r in sent) <= 4 * len(own.at)
+
+
+EDGES = [None, -(1 << 63), -7, 0, 1 << 62, (1 << 62) + 1, (1 << 63) - 1]
+
+
+@pytest.fixture(scope="module")
+def edge_rows():
+    """Ids at the ends of their range, each with texts that others have too, in every order."""
+    rng = random.Random(11)
+    texts = [" ".join(f"e{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4)]
+    rows = [(i, t) for k, t in enumerate(texts) for i in EDGES[k % 3 :]]
+    rows += [((1 << 63) - 1, "alone " + texts[0][:200]), ((1 << 63) - 1, texts[3]), (None, "only here " * 30), ((1 << 63) - 1, "a text that the largest id alone has, with words enough")]
+    return [(i, t, None, None, None) for i, t in rows]
+
+
+def test_ids_at_the_ends_of_their_range(spark, edge_rows):
+    df = spark.createDataFrame(edge_rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    groups = defaultdict(list)
+    for r in edge_rows:
+        groups[r[1]].append(r[0])
+    got = exact_dedup.exact_dedup(df).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((r[0], min(groups[r[1]], key=order), len(groups[r[1]])) for r in edge_rows)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(sha(t.encode()) for t in groups)
+    kept = exact_dedup.drop_copies(df).collect()
+    assert sorted((order(r.doc_id), r.text) for r in kept) == sorted((order(min(ids, key=order)), t) for t, ids in groups.items())
+    for f, units, width in ((suffix_dedup.suffix_dedup, lambda r: r[1].encode(), 50), (substring_dedup.substring_dedup, lambda r: r[1].split(), 13)):
+        want = Counter((r[0], sum(gone)) for r, _, gone in removed_units(edge_rows, units, width))
+        assert Counter((r.doc_id, r.n_removed) for r in f(df).collect()) == want
+    got = Counter((order(r.doc_id), r.n_shingles, order(r.component_id)) for r in minhash_dedup.near_groups(df, 85).collect())
+    assert got == near_reference(edge_rows, 85)
+    kept = minhash_dedup.drop_near_copies(df).collect()
+    assert all(r.text is not None for r in kept)
+    roots = {i for _, _, i in near_reference(edge_rows, 80)}
+    assert {order(r.doc_id) for r in kept} == roots
 
 
 def near_reference(rows, percent):
