@@ -3,16 +3,19 @@
 Each task first folds its own copies in a table of distinct contents, so a group that holds a third of all rows
 crosses the network once per task and not once per row. What is left is hash-partitioned; each partition streams into
 an open-addressing table that compares complete contents, and when the table outgrows its budget the rest is
-partitioned again, by the next hash bits, to spill files of the task until every part fits.
+partitioned again, by the next hash bits, to spill files of the task until every part fits. A record may carry its
+row, so that the tables give back the rows that stay and no join is needed to find them.
 
 Defined results: a null text counts as empty; equal texts are equal after each run of white space becomes one space;
-a null doc_id sorts after all others; of repeated rows (same doc_id, same text) one is kept; no rows give no rows.
+a null doc_id sorts after all others; of repeated rows (same doc_id, same text) one is kept, of drop_copies the one
+whose values, serialised, come first, so that a task that runs again keeps the same; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import pickle
 import random
 import struct
 import tempfile
@@ -23,16 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.llm.storage import fresh, text_column
+from frameloom.llm.skew import commonest, dealt_join
+from frameloom.llm.storage import Scratch, text_column
 
 #: Bytes of distinct contents that one table may hold: of a map task's pre-aggregation, and of a bucket.
 LOCAL_BYTES, BUCKET_BYTES = 32 << 20, 64 << 20
 FANOUT_BITS = 4
-GROUPS = "sha binary, text string, keep_id long, group_size long"
-_HEAD = struct.Struct("<QqqI")
-_LAST = (1 << 63) - 1
+GROUPS = "sha binary, text string, late boolean, keep_id long, group_size long, row binary"
+GROUP_NAMES = [c.split()[0] for c in GROUPS.split(", ")]
+_HEAD = struct.Struct("<Q?qqII")
 
-Record = tuple[int, bytes, int, int]  # hash, content, smallest doc_id, rows
+#: A document's rank, compared as a tuple: without a doc_id (which sorts after all others), doc_id or 0, its row.
+Rank = tuple[bool, int, bytes]
+Record = tuple[int, bytes, Rank, int]  # hash, content, least rank, rows
 
 
 def normalised(text: Column) -> Column:
@@ -48,19 +54,19 @@ class ContentTable:
         self.bytes = 0
 
     def add(self, record: Record) -> None:
-        h, content, smallest, rows = record
+        h, content, rank, rows = record
         mask = len(self.slots) - 1
         at = h & mask
         while (k := self.slots[at]) >= 0:
             entry = self.entries[k]
             if entry[0] == h and entry[1] == content:
-                entry[2] = min(entry[2], smallest)
+                entry[2] = min(entry[2], rank)
                 entry[3] += rows
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.entries)
-        self.entries.append([h, content, smallest, rows])
-        self.bytes += len(content) + 200
+        self.entries.append([h, content, rank, rows])
+        self.bytes += len(content) + len(rank[2]) + 300
         if len(self.entries) * 2 > len(self.slots):
             self._grow()
 
@@ -75,7 +81,7 @@ class ContentTable:
 
 
 def grace_groups(records: Iterable[Record], budget: int, folder: str, level: int = 0) -> Iterator[list]:
-    """Groups of equal contents, in no order: [hash, content, smallest doc_id, rows]."""
+    """Groups of equal contents, in no order: [hash, content, least rank, rows]."""
     table, records = ContentTable(), iter(records)
     bits = FANOUT_BITS * level
     for record in records:
@@ -89,10 +95,11 @@ def grace_groups(records: Iterable[Record], budget: int, folder: str, level: int
     files = [open(n, "wb") for n in names]  # noqa: SIM115
     try:
         for part in (table.entries, records):
-            for h, content, smallest, rows in part:
+            for h, content, (late, doc_id, row), rows in part:
                 out = files[h >> (64 - FANOUT_BITS - bits) & ((1 << FANOUT_BITS) - 1)]
-                out.write(_HEAD.pack(h, smallest, rows, len(content)))
+                out.write(_HEAD.pack(h, late, doc_id, rows, len(content), len(row)))
                 out.write(content)
+                out.write(row)
     finally:
         for f in files:
             f.close()
@@ -105,23 +112,24 @@ def grace_groups(records: Iterable[Record], budget: int, folder: str, level: int
 def _spilled(name: str) -> Iterator[Record]:
     with open(name, "rb") as f:
         while head := f.read(_HEAD.size):
-            h, smallest, rows, size = _HEAD.unpack(head)
-            yield h, f.read(size), smallest, rows
+            h, late, doc_id, rows, size, wide = _HEAD.unpack(head)
+            content = f.read(size)
+            yield h, content, (late, doc_id, f.read(wide)), rows
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[Record]:
     for batch in batches:
-        shas, texts, ids, rows = (batch.column(k) for k in range(4))
+        shas, texts, late, ids, rows, held = (batch.column(c) for c in GROUP_NAMES)
         for k in range(batch.num_rows):
-            smallest = ids[k].as_py()
-            yield int.from_bytes(shas[k].as_py()[:8], "big"), texts[k].as_buffer().to_pybytes(), _LAST if smallest is None else smallest, rows[k].as_py()
+            rank = late[k].as_py(), ids[k].as_py(), held[k].as_py()
+            yield int.from_bytes(shas[k].as_py()[:8], "big"), texts[k].as_buffer().to_pybytes(), rank, rows[k].as_py()
 
 
 def _batches(groups: Iterable[list], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for group in groups:
         held.append(group)
-        size += len(group[1])
+        size += len(group[1]) + len(group[2][2])
         if size > limit:
             yield _batch(held)
             held, size = [], 0
@@ -135,10 +143,12 @@ def _batch(groups: list[list]) -> pa.RecordBatch:
         [
             pa.array([hashlib.sha256(c).digest() for c in contents], pa.binary()),
             pa.array(contents, pa.binary()).cast(pa.string()),
-            pa.array([None if g[2] == _LAST else g[2] for g in groups], pa.int64()),
+            pa.array([g[2][0] for g in groups]),
+            pa.array([g[2][1] for g in groups], pa.int64()),
             pa.array([g[3] for g in groups], pa.int64()),
+            pa.array([g[2][2] for g in groups], pa.binary()),
         ],
-        ["sha", "text", "keep_id", "group_size"],
+        GROUP_NAMES,
     )
 
 
@@ -164,37 +174,76 @@ def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.drop_columns(["text"])
 
 
-def copy_groups(docs: DataFrame) -> DataFrame:
-    """One row per distinct text: sha (SHA-256 of the normalised text), keep_id, group_size."""
-    text = normalised(F.col("text"))
-    rows = text_column(docs, {"doc_id": "long", "text": "string"}).select(text.alias("text"), "doc_id")
-    rows = rows.select(F.unhex(F.sha2("text", 256)).alias("sha"), "text", "doc_id", F.lit(1).cast("long").alias("n"))
-    folded = rows.mapInArrow(_fold, GROUPS)
-    return folded.repartition("sha").mapInArrow(_grace, GROUPS.replace("text string, ", ""))
+def _groups(rows: DataFrame) -> DataFrame:
+    """Groups of ``rows`` (GROUPS), each folded where it is before its content crosses the network."""
+    return rows.mapInArrow(_fold, GROUPS).repartition("sha").mapInArrow(_grace, GROUPS.replace("text string, ", ""))
 
 
-def keyed(docs: DataFrame, sha: str, copy: str) -> DataFrame:
-    """``docs`` with two columns more: the digest of its text, and its number among repeated rows."""
-    docs = docs.withColumn(sha, F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    return docs.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", sha).orderBy(F.lit(1))))
+def _ranked(text: Column, doc_id: Column, row: Column) -> list[Column]:
+    """GROUPS of single rows."""
+    doc_id = doc_id.cast("long")
+    return [
+        F.unhex(F.sha2(text, 256)).alias("sha"),
+        text.alias("text"),
+        doc_id.isNull().alias("late"),
+        F.coalesce(doc_id, F.lit(0).cast("long")).alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        row.alias("row"),
+    ]
+
+
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """One row per distinct text: sha (SHA-256 of the normalised text), keep_id, group_size."""
+    rows = text_column(docs, {"doc_id": "long", "text": "string"}).select(normalised(F.col("text")).alias("text"), "doc_id")
+    groups = _groups(rows.select(_ranked(F.col("text"), F.col("doc_id"), F.lit(b""))))
+    return groups.select("sha", F.when(~F.col("late"), F.col("keep_id")).alias("keep_id"), "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    The join of rows with their group is on the digest; a hot digest is split by the adaptive skew join, as the other
-    side has one narrow row per group.
+    Rows meet their group by its digest, which the commonest digests' rows do over many tasks. Repeated rows are counted
+    where they are, so each task has one of them, the first of which is the one kept.
     """
-    rows = keyed(text_column(docs, {"doc_id": "long", "text": "string"}), "sha", "copy").drop("text")
-    out = rows.join(copy_groups(docs), "sha")
-    kept = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("copy") == 1)
+    scratch = Scratch(docs.sparkSession, "exact")
+    groups = scratch.keep(copy_groups(docs), "groups")
+    hot = scratch.keep(commonest(groups, ["sha"], "group_size"), "hot")
+    rows = text_column(docs, {"doc_id": "long", "text": "string"})
+    rows = rows.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"), F.spark_partition_id().alias("task"))
+    rows = rows.groupBy("doc_id", "sha", "task").agg(F.count("*").alias("times"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "sha").orderBy("task")))
+    out = dealt_join(rows, groups, hot, ["sha"], F.xxhash64("doc_id", "task"), "inner")
+    out = out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1) & (F.col("time") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def _serialised():
+    """Rows with a further column: the row's other values, serialised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns
+            own = [c.to_pylist() for c in columns[5:]]
+            rows = [pickle.dumps(row, 5) for row in zip(*own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(rows, pa.binary())], GROUP_NAMES)
+
+    return run
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, with all their columns."""
-    sha, copy = fresh(docs, "__sha", "__copy")
-    groups = copy_groups(docs).select(F.col("sha").alias("group"), "keep_id")
-    rows = keyed(docs, sha, copy).filter(F.col(copy) == 1)
-    match = (rows[sha] == groups["group"]) & rows["doc_id"].eqNullSafe(groups["keep_id"])
-    return rows.join(groups, match, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns; each text crosses the network once."""
+    keys = _ranked(normalised(F.col("text")), F.col("doc_id"), F.lit(None))[:5]
+    rows = docs.select(*[k.alias(f"__key{n}") for n, k in enumerate(keys)], "*")
+    schema, names = docs.schema, docs.columns
+    groups = _groups(rows.mapInArrow(_serialised(), GROUPS))
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            columns = zip(*map(pickle.loads, batch.column("row").to_pylist()), strict=True) if batch.num_rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+    return groups.select("row").mapInArrow(restore, schema)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frameloom.llm import blocks, exact_dedup, minhash_dedup, substring_dedup, suffix_dedup
 from frameloom.llm.components import components
@@ -45,16 +46,25 @@ def test_drop_copies_keeps_columns_and_one_row_per_text(docs, rows):
     assert len(found) == len(norm) and all(r[c] == 1 for r in found for c in CLASH)
 
 
+def test_drop_copies_keeps_the_same_of_repeated_rows(spark):
+    rows = [(1, "a  b", "x"), (1, "a b", "z"), (1, "a\tb", "y"), (2, "a b", "w"), (None, None, "n"), (None, "", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string").withColumn("more", F.struct(F.array("tag").alias("tags"), F.lit(1.5).alias("x")))
+    runs = [sorted(map(str, exact_dedup.drop_copies(df.repartition(n, "tag")).collect())) for n in (1, 2, 6)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2
+    assert exact_dedup.drop_copies(df).schema == df.schema
+
+
 def test_grace_spills_and_compares_contents(tmp_path):
-    records = [(hash(("h", k % 50)) & (2**64 - 1), f"text {k % 50} ".encode() * 40, k, 1) for k in range(500)]
-    records += [(records[0][0], b"same hash, other content", 1, 1)]
+    records = [(hash(("h", k % 50)) & (2**64 - 1), f"text {k % 50} ".encode() * 40, (False, k, b"row"), 1) for k in range(500)]
+    records += [(records[0][0], b"same hash, other content", (True, 0, b""), 1)]
     groups = list(exact_dedup.grace_groups(records, 2_000, str(tmp_path)))
-    assert {bytes(g[1]): (g[2], g[3]) for g in groups} == {f"text {k} ".encode() * 40: (k, 10) for k in range(50)} | {b"same hash, other content": (1, 1)}
+    want = {f"text {k} ".encode() * 40: ((False, k, b"row"), 10) for k in range(50)} | {b"same hash, other content": ((True, 0, b""), 1)}
+    assert {bytes(g[1]): (g[2], g[3]) for g in groups} == want
     assert len(groups) == 51 and not list(tmp_path.iterdir())
 
 
 def test_grace_with_one_hash_for_all(tmp_path):
-    records = [(0, f"content {k}".encode() * 20, k, 1) for k in range(30)]
+    records = [(0, f"content {k}".encode() * 20, (False, k, b""), 1) for k in range(30)]
     assert len(list(exact_dedup.grace_groups(records, 100, str(tmp_path)))) == 30
 
 
