@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.llm.storage import Scratch
@@ -12,20 +14,21 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("u"), F.col("w").alias("v")).unionAll(edges.select(F.col("w").alias("u"), "v"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, lowest: Callable[[str], Column]) -> DataFrame:
     near = _both(edges)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = near.groupBy("u").agg(lowest("v").alias("m")).withColumn("m", F.least("m", "u"))
     return near.filter("v > u").join(least, "u").filter("v <> m").select("v", F.col("m").alias("w"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("v").agg(F.min("w").alias("m"))
+def _small(edges: DataFrame, lowest: Callable[[str], Column]) -> DataFrame:
+    least = edges.groupBy("v").agg(lowest("w").alias("m"))
     to_least = least.select("v", F.col("m").alias("w"))
     return edges.join(least, "v").filter("w <> m").select(F.col("w").alias("v"), F.col("m").alias("w")).unionAll(to_least)
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(v, w): each linked node but the least of its component, and that least node. ``links`` has columns a, b.
+def components(links: DataFrame, scratch: Scratch, name: str, lowest: Callable[[str], Column] = F.min) -> DataFrame:
+    """(v, w): each linked node but the least of its component, and that least node. ``links`` has columns a, b of any
+    type with an order, of which ``lowest`` is the least of a group.
 
     Neighbours are never gathered: minima are aggregated and joined back, so a hot node is split like any skewed key.
     """
@@ -36,5 +39,5 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if mark == before or not mark[0]:
             return edges
         before, step = mark, step + 1
-        edges = scratch.keep(_small(_large(edges).distinct()).distinct(), f"{name}{step}")
+        edges = scratch.keep(_small(_large(edges, lowest).distinct(), lowest).distinct(), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
