@@ -1,10 +1,13 @@
 """Language identification as a mixture of languages per document.
 
 Byte trigrams of the labelled documents give each language's trigram distribution, counted over all of them in hashed
-cells and summed by aggregation. For a document, expectation-maximisation estimates the proportions of the languages
-that best explain its trigrams. The language set is the one, among the most likely 1, 2, ... languages, with the best
-likelihood less a penalty per language. The proportions are then fitted again over the set alone, until none moves by
-more than TOLERANCE in a step; the prediction is the set's most likely language, the score its proportion.
+cells and summed by aggregation. A document is its distinct cells and how often each occurs, so the work and memory
+that a long text takes are bounded by the cells. Expectation-maximisation over all languages (STEPS steps from even
+proportions) ranks them. The candidate sets are the first 1, 2, ... languages of that rank; for each the proportions are
+fitted over the set alone, until none moves by more than TOLERANCE in a step, and the set with the best likelihood less
+a penalty per language is chosen. Larger sets are left untried once the likelihood over all languages, which bounds that
+of any set, could not make up for their penalty. The prediction is the chosen set's most likely language, the score its
+proportion.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a null or missing lang teaches nothing;
 with no language learned every text is ``und``; equal proportions go to the first language by name; rows with the same
@@ -32,6 +35,8 @@ TOLERANCE = 1e-4
 #: Cost of each language in the set, times the logarithm of the number of trigrams.
 PENALTY = 4.0
 SMOOTHING = 0.5
+#: Bytes of text taken apart into trigrams at once.
+SPAN = 1 << 20
 UNKNOWN = "und"
 RESULT = "doc_id long, lang_pred string, score double, langs string"
 #: Letters and bytes of longer UTF-8 characters stay, in lower case; all else is a blank.
@@ -56,16 +61,35 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ((code[at] * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.int64), np.searchsorted(at, offsets)
 
 
+def cell_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct cells of each text, ascending, how often each occurs, and each text's first (n + 1 entries)."""
+    if len(offsets) == 2 and len(data) > SPAN:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for a in range(0, len(data), SPAN):  # a span and the two bytes that its last trigrams end in
+            part = data[a : a + SPAN + 2]
+            total += np.bincount(trigrams(part, np.array([0, len(part)]))[0], minlength=CELLS)
+        cells = np.flatnonzero(total)
+        return cells, total[cells], np.array([0, len(cells)])
+    cells, first = trigrams(data, offsets)
+    return distinct(cells, first)
+
+
+def distinct(cells: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys, counts = np.unique(owner * CELLS + cells, return_counts=True)
+    return keys % CELLS, counts, np.searchsorted(keys, np.arange(len(first)) * CELLS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
         for rows in rows_within(batch, "text", 1 << 20):
-            cells, first = trigrams(*text_buffers(rows.column("text")))
+            cells, counts, first = cell_counts(*text_buffers(rows.column("text")))
             langs = np.array(rows.column("lang").to_pylist(), dtype=object)
             owner = np.repeat(np.arange(len(langs)), np.diff(first))
             for lang in set(langs):
-                own = cells[(langs == lang)[owner]]
-                totals[lang] = totals.get(lang, 0) + np.bincount(own, minlength=CELLS)
+                own = (langs == lang)[owner]
+                totals[lang] = totals.get(lang, 0) + np.bincount(cells[own], counts[own], minlength=CELLS)
     for lang, counts in sorted(totals.items()):
         strips = counts.astype(np.int64).reshape(-1, STRIP)
         n = len(strips)
@@ -78,61 +102,77 @@ def _add(rows: Iterator[dict]) -> Iterator[tuple]:
             yield part[0]["lang"], part[0]["strip"], sum(np.frombuffer(r["counts"], np.int64) for r in part).tobytes()
 
 
+class Texts:
+    """Texts that have a trigram each, as their cells' probabilities by language and how often the cells occur."""
+
+    def __init__(self, p: np.ndarray, counts: np.ndarray, first: np.ndarray):
+        self.p, self.counts, self.begin, self.cells = p, counts.astype(np.float64), first[:-1], np.diff(first)
+        self.owner = np.repeat(np.arange(len(self.begin)), self.cells)
+        self.n = np.add.reduceat(self.counts, self.begin)
+
+    def take(self, which: np.ndarray) -> Texts:
+        size = self.cells[which]
+        first = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.begin[which] - first[:-1], size) + np.arange(first[-1])
+        return Texts(self.p[at], self.counts[at], first)
+
+    def mixed(self, share: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", self.p, share[self.owner])
+
+    def pull(self, share: np.ndarray) -> np.ndarray:
+        """What each language has of a text's trigrams, for its proportion: the likelihood's slope."""
+        return np.add.reduceat(self.p * (self.counts / self.mixed(share))[:, None], self.begin, axis=0)
+
+    def likelihood(self, share: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.counts * np.log(self.mixed(share)), self.begin)
+
+
 class Languages:
     """Trigram probabilities by language: a bounded table, CELLS by languages."""
 
     def __init__(self, names: list[str], counts: np.ndarray):
         self.names = names
         smooth = counts + SMOOTHING
-        self.p = (smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32) * np.float32(CELLS)
+        self.p = (smooth / smooth.sum(axis=1, keepdims=True)).T * CELLS
 
-    def proportions(self, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of texts that have a trigram each."""
-        n = np.diff(first)
-        share = np.full((len(n), len(self.names)), 1 / len(self.names), dtype=np.float32)
-        p = self.p[cells]
+    def choose(self, cells: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that have a trigram each: proportions over the set with the best penalised likelihood, languages by
+        falling proportion, and the set's size."""
+        texts = Texts(self.p[cells], counts, first)
+        share = np.full((len(first) - 1, len(self.names)), 1 / len(self.names))
         for _ in range(STEPS):
-            duty = p * np.repeat(share, n, axis=0)
-            duty /= duty.sum(axis=1, keepdims=True)
-            share = np.add.reduceat(duty, first[:-1], axis=0) / n[:, None]
-        return share
-
-    def choose(self, cells: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Proportions over the set with the best penalised likelihood, languages by falling proportion, and its size."""
-        share = self.proportions(cells, first)
-        order = np.argsort(-share, axis=1, kind="stable")
-        n = np.diff(first)
-        p = self.p[cells]
-        best, size = np.full(len(n), -np.inf), np.ones(len(n), dtype=int)
+            share *= texts.pull(share) / texts.n[:, None]
+        rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+        # the likelihood is concave, so its slope here bounds its greatest value
+        bound = texts.likelihood(share) + texts.pull(share).max(axis=1) - texts.n
+        cost = PENALTY * np.log(texts.n + 1)
+        best, size, chosen = np.full(len(share), -np.inf), np.ones(len(share), dtype=int), np.zeros_like(share)
         for m in range(1, len(self.names) + 1):
-            part = np.zeros_like(share)
-            np.put_along_axis(part, order[:, :m], np.take_along_axis(share, order[:, :m], 1) + np.float32(1e-9), 1)
-            part /= part.sum(axis=1, keepdims=True)
-            fit = np.log((p * np.repeat(part, n, axis=0)).sum(axis=1))
-            value = np.add.reduceat(fit, first[:-1], dtype=np.float64) - PENALTY * m * np.log(n + 1)
-            better = value > best
-            best[better], size[better] = value[better], m
-        chosen = np.argsort(order, axis=1) < size[:, None]
-        share = self.refitted(cells, first, np.where(chosen, share, 0))
-        return share, np.argsort(np.where(chosen, -share, 1), axis=1, kind="stable"), size
-
-    def refitted(self, cells: np.ndarray, first: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """Proportions fitted over the languages that have some in ``share``, from there to TOLERANCE."""
-        share = share / share.sum(axis=1, keepdims=True, dtype=np.float64)
-        going = np.flatnonzero((share > 0).sum(axis=1) > 1)
-        while len(going):
-            n = np.diff(first)[going]
-            begin = np.cumsum(n) - n
-            p = self.p[cells[np.repeat(first[:-1][going] - begin, n) + np.arange(n.sum())]]
-            moved = np.ones(len(going), dtype=bool)
-            while moved.all():
-                duty = p * np.repeat(share[going], n, axis=0)
-                duty /= duty.sum(axis=1, keepdims=True)
-                new = np.add.reduceat(duty, begin, axis=0) / n[:, None]
-                moved = np.abs(new - share[going]).max(axis=1) > TOLERANCE
-                share[going] = new
-            going = going[moved]
-        return share
+            going = np.flatnonzero(bound - cost * m > best)
+            if not len(going):
+                break
+            part = texts.take(going)
+            fit = fitted(part, np.where(rank[going] < m, share[going] + 1e-9, 0))
+            value = part.likelihood(fit) - cost[going] * m
+            better = value > best[going]
+            best[going[better]], size[going[better]], chosen[going[better]] = value[better], m, fit[better]
+        return chosen, np.argsort(np.where(rank < size[:, None], -chosen, 1), axis=1, kind="stable"), size
+
+
+def fitted(texts: Texts, share: np.ndarray) -> np.ndarray:
+    """Proportions fitted over the languages that have some in ``share``, from there on, each text's to TOLERANCE."""
+    share = share / share.sum(axis=1, keepdims=True)
+    going = np.flatnonzero((share > 0).sum(axis=1) > 1)
+    while len(going):
+        part = texts.take(going)
+        live = np.ones(len(going), dtype=bool)
+        while 2 * live.sum() > len(live):
+            new = share[going] * part.pull(share[going]) / part.n[:, None]
+            moved = np.abs(new - share[going]).max(axis=1) > TOLERANCE
+            share[going[live]] = new[live]
+            live &= moved
+        going = going[live]
+    return share
 
 
 def learn(docs: DataFrame) -> Languages:
@@ -151,7 +191,7 @@ def _predict(languages: Languages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_within(batch, "text", 1 << 19):
-                cells, first = trigrams(*text_buffers(rows.column("text")))
+                cells, counts, first = cell_counts(*text_buffers(rows.column("text")))
                 letters = np.array(rows.column("letters").to_pylist(), dtype=bool)
                 names = np.array([UNKNOWN] * len(letters), dtype=object)
                 sets, score = names.copy(), np.zeros(len(letters))
@@ -163,7 +203,7 @@ def _predict(languages: Languages):
                     if len(full):
                         keep = np.repeat(np.isin(np.arange(len(letters)), full), np.diff(first))
                         bounds = np.concatenate([[0], np.cumsum(np.diff(first)[full])])
-                        share, order, size = languages.choose(cells[keep], bounds)
+                        share, order, size = languages.choose(cells[keep], counts[keep], bounds)
                         names[full] = np.array(languages.names, dtype=object)[order[:, 0]]
                         score[full] = np.clip(share[np.arange(len(full)), order[:, 0]], 0, 1)
                         sets[full] = [",".join(languages.names[k] for k in o[:m]) for o, m in zip(order.tolist(), size.tolist(), strict=True)]

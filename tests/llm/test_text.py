@@ -1,5 +1,6 @@
 """Classifiers, scans, packing, decontamination and the pipeline."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -43,20 +44,64 @@ def test_language_mixture_set(spark):
     assert got[2].langs == "en" and got[2].score > 0.9
 
 
-def test_language_proportions_are_those_of_the_chosen_set():
+def plain_choice(p, cells):
+    """The method in plain Python: proportions over the chosen set, and the set in order of rank."""
+    names, counts = range(len(p[0])), Counter(cells)
+    n = sum(counts.values())
+
+    def step(share):
+        pull = dict.fromkeys(share, 0.0)
+        for c, times in counts.items():
+            mixed = sum(p[c][k] * s for k, s in share.items())
+            for k in share:
+                pull[k] += times * p[c][k] / mixed
+        return {k: s * pull[k] / n for k, s in share.items()}
+
+    share = {k: 1 / len(p[0]) for k in names}
+    for _ in range(language_id.STEPS):
+        share = step(share)
+    rank = sorted(names, key=lambda k: (-share[k], k))
+    best = None
+    for m in range(1, len(rank) + 1):
+        total = sum(share[k] + 1e-9 for k in rank[:m])
+        fit = {k: (share[k] + 1e-9) / total for k in rank[:m]}
+        while m > 1:
+            new = step(fit)
+            moved = max(abs(new[k] - fit[k]) for k in fit)
+            fit = new
+            if moved <= language_id.TOLERANCE:
+                break
+        value = sum(times * math.log(sum(p[c][k] * s for k, s in fit.items())) for c, times in counts.items())
+        value -= language_id.PENALTY * m * math.log(n + 1)
+        if best is None or value > best[0]:
+            best = value, fit
+    return best[1]
+
+
+def test_language_choice_is_that_of_plain_python():
     rng = np.random.default_rng(5)
-    model = language_id.Languages(["a", "b", "c"], rng.integers(0, 50, (3, language_id.CELLS)) * (rng.random((3, language_id.CELLS)) < 0.5))
-    draw = lambda k, n: rng.choice(language_id.CELLS, n, p=model.p[:, k] / model.p[:, k].sum(dtype=float))
-    texts = [draw(0, 40), np.concatenate([draw(1, 900), draw(2, 700)]), draw(2, 300)]
+    model = language_id.Languages(["a", "b", "c", "d"], rng.integers(0, 50, (4, language_id.CELLS)) * (rng.random((4, language_id.CELLS)) < 0.5))
+    p = model.p.tolist()
+    draw = lambda k, n: rng.choice(300, n, p=model.p[:300, k] / model.p[:300, k].sum())
+    texts = [np.concatenate([draw(k, n) for k, n in enumerate(rng.integers(0, 400, 4) * (rng.random(4) < 0.5)) if n] or [draw(1, 5)]) for _ in range(50)]
     first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-    share, order, size = model.choose(np.concatenate(texts), first)
-    assert size.tolist() == [1, 2, 1] and order[:, 0].tolist() == [0, 1, 2]
+    share, order, size = model.choose(*language_id.distinct(np.concatenate(texts), first))
+    assert set(size.tolist()) >= {1, 2, 3}
     for x, s, o, m in zip(texts, share, order, size, strict=True):
-        want, p = np.full(m, 1 / m), model.p[x][:, o[:m]].astype(float)
-        for _ in range(500):
-            duty = p * want
-            want = (duty / duty.sum(axis=1, keepdims=True)).mean(axis=0)
-        assert np.allclose(s[o[:m]], want, atol=1e-3) and np.allclose(s[o[m:]], 0)
+        want = plain_choice(p, x.tolist())
+        assert set(o[:m].tolist()) == set(want) and all(abs(s[k] - v) < 1e-6 for k, v in want.items())
+        assert o[0] == min(want, key=lambda k: (-want[k], k)) and np.allclose(s.sum(), 1)
+
+
+def test_language_of_a_very_long_text():
+    """Cells of a text taken apart in spans are those of the whole; work follows the cells, not the bytes."""
+    data = np.frombuffer(("Ünd the thing that they think 12 " * 70_000).encode(), np.uint8)
+    cells, counts, first = language_id.cell_counts(data, np.array([0, len(data)]))
+    want = language_id.distinct(*language_id.trigrams(data, np.array([0, len(data)])))
+    assert len(data) > 2 * language_id.SPAN and all(np.array_equal(a, b) for a, b in zip((cells, counts, first), want, strict=True))
+    model = language_id.Languages([f"l{k:02d}" for k in range(40)], np.random.default_rng(1).integers(0, 9, (40, language_id.CELLS)))
+    share, _, size = model.choose(cells, counts, first)
+    assert np.isclose(share.sum(), 1) and 1 <= size[0] <= 40
 
 
 def test_quality_held_out_accuracy(spark):
