@@ -1,10 +1,12 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
-Each template is a phrase with a mandatory key phrase inside it. The index keeps, for each template, the two words of
-its key phrase that are rarest in the corpus (highest inverse document frequency, counted over all documents), with
-their positions. A file's places of the rarest word give the starts it implies; those where the second rarest stands
-at its relative position stay; the key phrase must then stand there word by word, and SHARE of the template's words
-must stand at their positions. A base template is its key phrase.
+Each template is a phrase with a mandatory key phrase inside it. The index posts a template under the two words of its
+key phrase that are rarest in the corpus (highest inverse document frequency, counted over all documents), as (template,
+offset). A file's words are looked up in it: of all words that the file shares with a template's key phrase, those two
+have the highest inverse document frequency in the file too, as it must hold the whole phrase. Each place of a posted
+word implies a start, its position less the offset; the starts that both postings of a template imply stay. There the
+key phrase must stand word by word, and SHARE of the template's words must stand at their positions. A base template is
+its key phrase. The templates are data to the plan, which has the same size for any number of them.
 
 Defined results: a null text is empty; a file without words has no places, empty labels and score 0; overlapping
 places all count; equal frequencies go to the earlier word of the phrase; rows with the same doc_id are scanned each
@@ -13,6 +15,7 @@ by itself; no rows give no rows.
 
 from __future__ import annotations
 
+import json
 import string
 from dataclasses import dataclass
 
@@ -62,6 +65,37 @@ NOTICES = (
     notice("unlicense", "", "released into the public domain"),
     notice("all-rights-reserved", "", "all rights reserved"),
 )
+# Whole licence texts, as words.
+WHOLE = (
+    notice(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation",
+        "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    notice(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    notice(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    notice(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1",
+        "the origin of this software must not be misrepresented",
+        "you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
+    ),
+)
+TEMPLATES = BASE + NOTICES + WHOLE
+#: Starts are kept with their template in one number; a text has fewer words than this, and a template too.
+STARTS = 1 << 40
 
 
 def words_of(text: Column) -> Column:
@@ -72,47 +106,62 @@ def words_of(text: Column) -> Column:
 def document_frequencies(words: DataFrame, templates: tuple[Template, ...]) -> dict[str, int]:
     """Documents that have each word of a key phrase; one row for each such word, however many documents."""
     vocabulary = sorted({w for t in templates for w in t.words[slice(*t.key)]})
-    found = words.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word"))
+    found = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(vocabulary)))).alias("word"))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
 def rare_offsets(template: Template, frequency: dict[str, int]) -> list[int]:
-    """Positions in the template of its key phrase's two rarest words."""
+    """Positions in the template of its key phrase's two rarest words; of a single word, twice the same."""
     key = range(*template.key)
-    return sorted(key, key=lambda k: (frequency.get(template.words[k], 0), k))[:2]
+    return (sorted(key, key=lambda k: (frequency.get(template.words[k], 0), k)) * 2)[:2]
 
 
-def places(words: Column, template: Template, frequency: dict[str, int]) -> Column:
-    """Array of (label, start, base, share) of one template's places in a file; null if it lacks the rarest word."""
-    first, second = (rare_offsets(template, frequency) * 2)[:2]
-    k = len(template.words)
+def postings(templates: tuple[Template, ...], frequency: dict[str, int], nth: int) -> dict[str, list[dict]]:
+    """The index on the templates' rarest words (``nth`` 0) or second rarest (1): word to templates and offsets."""
+    index: dict[str, list[dict]] = {}
+    for k, t in enumerate(templates):
+        at = rare_offsets(t, frequency)[nth]
+        index.setdefault(t.words[at], []).append({"t": k, "at": at})
+    return index
 
-    def stands(start: Column, at: int) -> Column:
-        return F.coalesce(F.get(words, start + at) == template.words[at], F.lit(False))
 
-    def share(start: Column) -> Column:
-        return sum((stands(start, at).cast("int") for at in range(k)), F.lit(0)) / F.lit(float(k))
+def constant(value: object, kind: str) -> Column:
+    """A literal of any type; the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps({"v": value})), f"v {kind}")["v"]
 
-    def fits(start: Column) -> Column:
-        ok = stands(start, second)
-        for at in range(*template.key):
-            ok = ok & stands(start, at)
-        return ok if template.base else ok & (share(start) >= SHARE)
 
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == template.words[first])
-    starts = F.filter(F.transform(at, lambda i: i - first), fits)
-    hit = lambda s: F.struct(
-        F.lit(template.label).alias("label"), s.cast("long").alias("start"), F.lit(template.base).alias("base"), (F.lit(1.0) if template.base else share(s)).alias("share")
-    )
-    return F.when(F.array_contains(words, template.words[first]), F.transform(starts, hit))
+def implied(words: Column, index: dict[str, list[dict]]) -> Column:
+    """Array of template * STARTS + start (and start may be negative) for each place of a posted word."""
+    at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(sorted(index)))
+    found = constant(index, "map<string,array<struct<t:bigint,at:bigint>>>")
+    return F.flatten(F.transform(at, lambda i: F.transform(F.element_at(found, F.get(words, i)), lambda p: p["t"] * STARTS + STARTS // 2 + i - p["at"])))
+
+
+def places(words: Column, templates: tuple[Template, ...], frequency: dict[str, int]) -> Column:
+    """Array of (label, start, base, share) of the templates' places in a file of one word or more."""
+    table = [{"label": t.label, "words": t.words, "key": t.words[slice(*t.key)], "at": t.key[0], "base": t.base} for t in templates]
+    every = constant(table, "array<struct<label:string,words:array<string>,key:array<string>,at:bigint,base:boolean>>")
+    both = F.array_intersect(*[implied(words, postings(templates, frequency, nth)) for nth in (0, 1)])
+
+    def found(code: Column) -> Column:
+        template, start = F.get(every, F.shiftright(code, 40).cast("int")), code % STARTS - STARTS // 2
+        stands = lambda j: F.coalesce(F.get(words, (start + j).cast("int")) == F.get(template["words"], j), F.lit(False))
+        n = F.size(template["words"])
+        share = F.size(F.filter(F.sequence(F.lit(0), n - 1), stands)) / n
+        begin = start + template["at"]
+        key = F.when(begin >= 0, F.slice(words, (begin + 1).cast("int"), F.size(template["key"])) == template["key"])
+        return F.struct(template["label"].alias("label"), start.alias("start"), template["base"].alias("base"), share.alias("share"), F.coalesce(key, F.lit(False)).alias("key"))
+
+    kept = F.filter(F.transform(both, found), lambda p: p["key"] & (p["share"] >= SHARE))
+    return F.transform(kept, lambda p: F.struct(p["label"].alias("label"), p["start"].alias("start"), p["base"].alias("base"), p["share"].alias("share")))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places."""
     words = text_column(docs, {"doc_id": "long", "text": "string"}).select("doc_id", words_of(F.col("text")).alias("words"))
     frequency = document_frequencies(words, templates)
     none = F.array().cast("array<struct<label:string,start:bigint,base:boolean,share:double>>")
-    every = F.concat(*[F.coalesce(places(F.col("words"), t, frequency), none) for t in templates])
+    every = F.when(F.size("words") > 0, places(F.col("words"), templates, frequency)).otherwise(none)
     found = words.select("doc_id", F.size("words").cast("long").alias("n_words"), every.alias("places"))
     of_base = F.filter("places", lambda p: p["base"])
     starts = F.transform(of_base, lambda p: p["start"])
@@ -133,7 +182,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES) -> D
     )
 
 
-def scan_sql(templates: tuple[Template, ...] = BASE + NOTICES) -> str:
+def scan_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
     """DuckDB SQL for the digest columns of scan() over ``documents``: every start of every template is tried."""
     rows = ", ".join(f"({k}, '{t.label}', {list(t.words)}, {t.key[0]}, {t.key[1]}, {str(t.base).lower()})" for k, t in enumerate(templates))
     return rf"""

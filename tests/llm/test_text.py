@@ -1,6 +1,7 @@
 """Classifiers, scans, packing, decontamination and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -126,6 +127,49 @@ def test_quality_cases(spark, docs, rows, empty):
     assert quality.score(empty, quality.learn(empty, some)).collect() == []
 
 
+def test_quality_is_that_of_plain_python(spark, docs, rows):
+    """Index vectors, contexts, pooling and network, word by word."""
+    texts = [r[1] or "" for r in rows if len(r[1] or "") < 2000]
+    df = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, quality int")
+    model = quality.learn(df, df)
+    index = quality.index_vectors().T
+    assert (np.abs(index).sum(axis=1) == quality.NONZERO).all() and set(np.unique(index)) == {-1, 0, 1}
+
+    def cells_of(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        return [tuple(int(c[0]) for c in quality.cells(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[:2]) for w in words]
+
+    total = defaultdict(lambda: np.zeros(quality.SIZE))
+    every = [cells_of(t) for t in texts]
+    for words in every:
+        for k, own in enumerate(words):
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(words):
+                    for c in own:
+                        total[c] += index[words[j][0]] + index[words[j][1]]
+    unit = {c: v / max(np.linalg.norm(v), 1e-9) for c, v in total.items()}
+    assert all(np.allclose(model.contexts[c], v, atol=1e-5) for c, v in unit.items())
+    net, zero = model.network, np.zeros(quality.SIZE)
+    got = {r.doc_id: r for r in quality.score(df, model).collect()}
+    for k, words in enumerate(every):
+        n = max(len(words), 1)
+        x = [*(sum((unit.get(w[0], zero) for w in words), zero) / n), *(sum((unit.get(w[1], zero) for w in words), zero) / n), math.log1p(len(words)) / 10]
+        z = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(v * w for v, w in zip(z, net.w[0][:, h], strict=True)) + net.w[1][h]) for h in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, net.w[2], strict=True)) + net.w[3][0]
+        want = 1 / (1 + math.exp(-max(-60, min(60, logit / net.temperature))))
+        assert abs(got[k].score - want) < 1e-3 and got[k].predicted == (got[k].score >= 0.5)
+
+
+def test_quality_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_LABELLED", 20)
+    seen = []
+    monkeypatch.setattr(quality, "Network", lambda x, y: seen.append(len(x)))
+    df = spark.createDataFrame([(1, f"text number {k}", 1) for k in range(200)], "doc_id long, text string, quality int")
+    quality.learn(df, df)
+    assert seen == [20]
+
+
 def license_reference(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     starts, labels = [], set()
@@ -150,6 +194,29 @@ def test_license_scan_is_native(docs):
     assert "Python" not in license_scan.scan(docs)._jdf.queryExecution().toString()
 
 
+def test_license_scan_whole_texts_and_clashes(spark, docs):
+    whole = [" ".join(t.words) for t in license_scan.WHOLE]
+    long = "filler words " * 200_000 + whole[0] + " the end"
+    changed = whole[1].replace("for any purpose", "for any private purpose")
+    texts = [*whole, long, changed, whole[0].split("and to permit")[0]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("words", "places", "word", "score")})
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for k, t in enumerate(license_scan.WHOLE):
+        assert t.label in got[k].labels.split(",") and got[k].score == 1.0
+    n = len(license_scan.WHOLE)
+    assert ("mit", 400_000) in {(p.label, p.start) for p in got[n].places}
+    assert license_scan.WHOLE[1].words not in [t.words for t in license_scan.NOTICES] and not any(p.share == 1.0 and p.label == "isc" for p in got[n + 1].places)
+    assert len(got) == len(texts)
+
+
+def test_license_scan_plan_does_not_grow_with_the_templates(spark):
+    df = spark.createDataFrame([(k, f"under the made up license number w{k} of all") for k in range(30)], "doc_id long, text string")
+    many = tuple(license_scan.base(f"l{k}", f"license number w{k}") for k in range(300))
+    size = lambda t: len(license_scan.scan(df, t)._jdf.queryExecution().analyzed().expressions().toString().split("lambdafunction"))
+    assert size(many) == size(many[:2])
+    assert all(r.labels == f"l{r.doc_id}" and r.first_word == 4 for r in license_scan.scan(df, many).collect())
+
+
 def test_license_scan_no_rows(empty):
     assert license_scan.scan(empty).collect() == []
 
@@ -270,11 +337,29 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(empty, bench).collect() == []
 
 
+def test_decontaminate_recall_of_scattered_items(spark):
+    """Items in pieces of at most 12 words, thousands of words apart, so that no stretch holds much of one."""
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    items = [(k, " ".join(word() for _ in range(60))) for k in range(60)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        parts = [w[i : i + 16] for i in range(0, 60, 12)]  # pieces overlap by a shingle less one
+        docs.append((k, " ".join(" ".join([*p, *(word() for _ in range(3000))]) for p in parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    want = {k for (k, t), (_, d) in zip(items, docs, strict=True) if len(shingles(t) & shingles(d)) >= 0.8 * len(shingles(t))}
+    assert len(want) == 60 and len({r.doc_id for r in got if r.doc_id == r.item_id}) >= 0.99 * len(want)
+
+
 def test_decontaminate_in_chunks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, r.text) for k, r in enumerate(docs.filter("length(text) BETWEEN 200 AND 2000").select("text").distinct().collect())], "item_id long, text string")
     whole = sorted(decontaminate.leaks(docs, bench).collect(), key=str)
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 4000)
     assert sorted(decontaminate.leaks(docs, bench).collect(), key=str) == whole and whole
+    held = {r.doc_id for r in whole}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} >= {r.doc_id for r in docs.collect()} - held
 
 
 def test_pipeline_against_brute_force(spark):
