@@ -4,8 +4,9 @@ Every word has a sparse ternary index vector given by its hash; a word's context
 vectors of its neighbours over the whole corpus. Words are taken as written and, as a second kind, by their shape
 (runs of lower-case letters, capitals, digits and each other sign), which has a context vector of its own. Both live
 in hashed cells, so the tables are of fixed size. A document is the mean of its words' vectors; a two-layer network
-in numpy, fitted on at most MAX_LABELLED labelled documents (those with the least hash of doc_id), gives a score, and
-a temperature fitted on a part held back from the fit calibrates it.
+in numpy, fitted on at most MAX_LABELLED labelled rows (those with the least hash of doc_id and vector, of the
+documents with the least hash of doc_id), gives a score, and a temperature fitted on a part held back from the fit
+calibrates it.
 
 Defined results: a null or empty text has the zero vector and is scored like any other; without labels of both kinds
 every score is the share of label 1, or a half with none; null labels teach nothing; rows with the same doc_id are
@@ -177,7 +178,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Quality:
                 columns = [part.column("doc_id"), part.column("quality"), pa.array([v.tobytes() for v in x], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "x"])
 
-    found = sorted(rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())
+    vectors = rows.mapInArrow(run, "doc_id long, quality int, x binary")
+    # a doc_id that many rows share has all its rows join, so the rows are bounded too
+    found = sorted(vectors.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(MAX_LABELLED).collect())
     x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), 2 * SIZE + 1)
     return Quality(contexts, Network(x, np.array([r["quality"] for r in found], dtype=np.float64)))
 
