@@ -70,7 +70,8 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, kept_sha256, kept_text."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = text_column(docs, {"doc_id": "long", "text": "string", "source": "string"})
-    lines = exploded(rows)
+    # read three times: for the counts, the sketches and the removal
+    lines = scratch.keep(exploded(rows), "lines", "lz4")
     needed = "low < high" if min_sites > 1 else "low IS NOT NULL"
     several = scratch.keep(line_counts(lines).filter(needed).select("k1", "k2", "n"), "several")
     hot = scratch.keep(commonest(several, ["k1", "k2"]), "hot")
