@@ -7,7 +7,8 @@ and with it the chance that a MinHash coordinate agrees, is at least a quarter o
 COORDINATES makes a candidate. Each is verified: the share of the item's distinct word shingles that the whole
 document has must reach the threshold.
 
-The items are read in chunks of bounded size and each chunk is sent to all tasks; more items mean more passes.
+The items are read in chunks of bounded size, and each chunk is sent to all tasks; more items mean more passes, each
+written as a table before the next, so the driver holds one chunk at a time.
 
 Defined results: a null or empty item, or one without words, is in no document; a null doc_id or item_id is carried
 as null; an item shorter than five words is one shingle, found only in documents that are that sequence; repeated
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from frameloom.llm.bytesight import LOWER, U64, Words, mix, rows_within, shingle_sets, text_buffers, window_hashes, window_inside
 from frameloom.llm.minhash_dedup import _ring
-from frameloom.llm.storage import fresh, text_column
+from frameloom.llm.storage import Scratch, text_column
 
 THRESHOLD, SHINGLE = 0.8, 5
 COORDINATES = 64
@@ -84,56 +85,85 @@ def candidates(items: Items, hashes: np.ndarray, first: np.ndarray) -> np.ndarra
     return np.unique(np.concatenate(found), axis=0)
 
 
+def found_pairs(items: Items, rows: pa.RecordBatch, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shingles in common) of the rows and the items they hold."""
+    words = Words(*text_buffers(rows.column("text")))
+    distinct, bounds = shingle_sets(words, SHINGLE)
+    h = words.hashes(data=LOWER[words.data])
+    inside = window_inside(words.first, len(h), SHINGLE)
+    ordered, doc = window_hashes(h, SHINGLE)[inside], words.doc()[: len(inside)][inside]
+    first = np.searchsorted(doc, np.arange(len(bounds)))
+    short = np.diff(first) == 0
+    if short.any():  # a text of fewer words has its one shingle
+        ordered = np.concatenate([ordered, distinct[bounds[:-1][short & (np.diff(bounds) > 0)]]])
+        doc = np.concatenate([doc, np.flatnonzero(short & (np.diff(bounds) > 0))])
+        order = np.argsort(doc, kind="stable")
+        ordered, doc = ordered[order], doc[order]
+        first = np.searchsorted(doc, np.arange(len(bounds)))
+    if not len(ordered) or not items.sets:
+        return
+    for d, i in candidates(items, ordered, first).tolist():
+        item = items.sets[i]
+        n = int(np.isin(item, distinct[bounds[d] : bounds[d + 1]], assume_unique=True).sum())
+        if n >= threshold * len(item):
+            yield d, i, n
+
+
 def _search(items: Items, threshold: float):
+    kinds = [pa.int64()] * 4 + [pa.float64()]
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in rows_within(batch, "text", 1 << 20):
-                words = Words(*text_buffers(rows.column("text")))
-                distinct, bounds = shingle_sets(words, SHINGLE)
-                h = words.hashes(data=LOWER[words.data])
-                inside = window_inside(words.first, len(h), SHINGLE)
-                ordered, doc = window_hashes(h, SHINGLE)[inside], words.doc()[: len(inside)][inside]
-                first = np.searchsorted(doc, np.arange(len(bounds)))
-                short = np.diff(first) == 0
-                if short.any():  # a text of fewer words has its one shingle
-                    ordered = np.concatenate([ordered, distinct[bounds[:-1][short & (np.diff(bounds) > 0)]]])
-                    doc = np.concatenate([doc, np.flatnonzero(short & (np.diff(bounds) > 0))])
-                    order = np.argsort(doc, kind="stable")
-                    ordered, doc = ordered[order], doc[order]
-                    first = np.searchsorted(doc, np.arange(len(bounds)))
-                if not len(ordered) or not items.sets:
-                    continue
-                ids, out = rows.column("doc_id").to_pylist(), []
-                for d, i in candidates(items, ordered, first).tolist():
-                    own = distinct[bounds[d] : bounds[d + 1]]
-                    item = items.sets[i]
-                    n = int(np.isin(item, own, assume_unique=True).sum())
-                    if n >= threshold * len(item):
-                        out.append((ids[d], items.ids[i], n, len(item), n / len(item)))
+                ids = rows.column("doc_id").to_pylist()
+                out = [(ids[d], items.ids[i], n, len(items.sets[i]), n / len(items.sets[i])) for d, i, n in found_pairs(items, rows, threshold)]
                 if out:
-                    kinds = [pa.int64()] * 4 + [pa.float64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], PAIRS.replace(" long", "").replace(" double", "").split(", "))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and item it holds: doc_id, item_id, n_shared, n_item, containment."""
+def _without(items: Items, threshold: float):
+    """The rows that hold no item, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in rows_within(batch, "text", 1 << 20):
+                clean = np.ones(rows.num_rows, dtype=bool)
+                clean[[d for d, _, _ in found_pairs(items, rows, threshold)]] = False
+                yield rows.filter(pa.array(clean))
+
+    return run
+
+
+def item_chunks(benchmark: DataFrame) -> Iterator[tuple[bool, Items]]:
+    """The items in chunks of about CHUNK_BYTES, and whether there are several chunks."""
     items = text_column(benchmark, {"item_id": "long", "text": "string"}).fillna("", ["text"])
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = size // CHUNK_BYTES + 1
-    texts = text_column(docs, {"doc_id": "long", "text": "string"})
-    found = []
     for c in range(chunks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c).collect()
-        found.append(texts.mapInArrow(_search(Items([r["item_id"] for r in rows], [r["text"] for r in rows]), threshold), PAIRS))
+        yield chunks > 1, Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document and item it holds: doc_id, item_id, n_shared, n_item, containment."""
+    scratch = Scratch(docs.sparkSession, "leaks")
+    texts = text_column(docs, {"doc_id": "long", "text": "string"})
+    found = []
+    for several, items in item_chunks(benchmark):
+        part = texts.mapInArrow(_search(items, threshold), PAIRS)
+        found.append(scratch.keep(part, f"part{len(found)}") if several else part)
     return reduce(DataFrame.unionAll, found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; a row is judged by its own text, whatever its id."""
-    (own,) = fresh(docs, "__own")
-    rows = docs.withColumn(own, F.xxhash64("doc_id", "text"))
-    texts = rows.select(F.col(own).alias("doc_id"), "text")
-    leaked = leaks(texts, benchmark, threshold).select(F.col("doc_id").alias("leaked")).distinct()
-    return rows.join(leaked, rows[own] == leaked["leaked"], "left_anti").drop(own)
+    """The rows of ``docs`` that hold no item, with all their columns; a row is judged by its own text, whatever its id,
+    where it is, so nothing is shuffled."""
+    scratch = Scratch(docs.sparkSession, "leakless")
+    schema = docs.schema
+    for k, (several, items) in enumerate(item_chunks(benchmark)):
+        docs = docs.mapInArrow(_without(items, threshold), schema)
+        docs = scratch.keep(docs, f"part{k}") if several else docs
+    return docs
