@@ -5,8 +5,8 @@ shifted by k places, gives coordinate k. Texts with equal shingle sets form one
 goes on. Of each shared band key the documents are compared with the smallest one, the star of the band. What stays in
 different components there is compared further, so no link between documents that share a band is lost: in a band of at
 most TILE documents at one place, and for all larger bands together by an exact prefix filter. Similar sets share one of
-their rarest shingles, so a document sends only the rarest few, and only documents that meet there, in different
-components and of like size, are compared. The number of bands makes the chance of missing a link at the threshold
+their rarest shingles, so a document sends only the rarest few with their places in its order, and only documents that
+meet there, in different components, and that have enough shingles left from there on, are compared. The number of bands makes the chance of missing a link at the threshold
 itself MISS; more similar pairs fare better.
 
 A node is the pair (late, id): doc_id, or for a row without one, late and a hash of its text.
@@ -210,25 +210,28 @@ def _send_rarest(counts: np.ndarray, percent: int):
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         for r in rows:
             shingles = np.frombuffer(r["shingles"], U64)
-            for key in rarest(shingles, counts, percent).view(np.int64).tolist():
-                yield key, r["node"]["late"], r["node"]["id"], r["component"]["late"], r["component"]["id"], len(shingles)
+            for place, key in enumerate(rarest(shingles, counts, percent).view(np.int64).tolist()):
+                yield key, r["node"]["late"], r["node"]["id"], r["component"]["late"], r["component"]["id"], len(shingles), len(shingles) - place
 
     return run
 
 
 def _meet_rarest(percent: int):
-    """Rows (shingle, tile, other, node_late, node_id, component_late, component_id, n) sorted by all of those: pairs of
-    nodes of like size in different components; rows of one tile among each other, else those of one with the other."""
+    """Rows (cell, tile, node_late, node_id, component_late, component_id, n, left) sorted by cell: pairs of nodes in
+    different components, of rows of one tile among each other, else of one tile with the other's.
+
+    Sets that are similar enough have 100 * common >= percent * union. At the first shingle that two sets share, in the
+    order of all shingles, neither can have more in common than it has ``left`` from there on.
+    """
 
     def run(rows: Iterator[dict]) -> Iterator[tuple]:
         for group in B.grouped(rows, "cell"):
-            n = np.array([r["n"] for r in group])
-            tile = np.array([r["tile"] for r in group])
+            n, left, tile = (np.array([r[c] for r in group]) for c in ("n", "left", "tile"))
             component = np.unique([f"{r['component_late']} {r['component_id']}" for r in group], return_inverse=True)[1]
             across = tile.min() != tile.max()
             for k in range(1, len(group)):
                 j = np.arange(k)
-                ok = (component[j] != component[k]) & (100 * np.minimum(n[j], n[k]) >= percent * np.maximum(n[j], n[k]))
+                ok = (component[j] != component[k]) & ((100 + percent) * np.minimum(left[j], left[k]) >= percent * (n[j] + n[k]))
                 if across:
                     ok &= tile[j] != tile[k]
                 for i in np.flatnonzero(ok).tolist():
@@ -248,7 +251,7 @@ def crowd_pairs(crowd: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     counts = np.zeros((64, CELLS // 64), dtype=np.int64)
     for r in B.map_rows(strips, _add_cells, "strip int, counts binary").collect():  # CELLS numbers
         counts[r["strip"]] = np.frombuffer(r["counts"], np.int64)
-    ddl = "shingle long, node_late boolean, node_id long, component_late boolean, component_id long, n long"
+    ddl = "shingle long, node_late boolean, node_id long, component_late boolean, component_id long, n long, left long"
     sent = scratch.keep(B.map_rows(crowd, _send_rarest(counts.ravel(), percent), ddl), "rarest")
     sizes = sent.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = scratch.keep(sizes, "sizes")

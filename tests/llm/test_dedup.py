@@ -231,6 +231,31 @@ def test_minhash_dedup_links_across_a_hub(spark):
     assert {r.component_id for r in minhash_dedup.near_groups(df, 85).collect()} == {0}
 
 
+def test_minhash_dedup_of_a_crowded_band_is_linear(spark, monkeypatch):
+    """Thousands of documents that agree in bands and differ in sets: pairs are linked, and no table grows with the
+    square of a band."""
+    rng = random.Random(2)
+    base = [f"b{k}" for k in range(60)]
+    word = lambda: f"u{rng.randrange(10**9)}"
+    rows = []
+    for k in range(0, 8000, 2):
+        own = [*base[:30], *(word() for _ in range(8)), *base[30:]]
+        rows += [(k, " ".join([*own, word()])), (k + 1, " ".join([*own, word()]))]
+    sizes = {}
+    keep = Scratch.keep
+
+    def counting(self, df, name, *rest):
+        out = keep(self, df, name, *rest)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counting)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_groups(df, 85).collect()}
+    assert got == {k: k // 2 * 2 for k in range(8000)}
+    assert sizes["crowd"] > 4000 and sizes["pairs"] < 2 * len(rows) and sizes["rarest"] < 20 * len(rows)
+
+
 def test_drop_near_copies_keeps_one_of_each(docs):
     kept = minhash_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns
