@@ -135,6 +135,16 @@ def window_retained(points: DataFrame, retention: Retention | None = None) -> Da
     return rows.withColumn("kept", (F.col("state") != "Lost") | (F.col("end_ns") - F.col("ts_ns") < r.lost_age_ns)).drop("back")
 
 
+def looked_up(points: DataFrame, ids: DataFrame) -> DataFrame:
+    """What a store knows of each asked id (feed_id, track_id): has_track, latest state and epoch, epoch and time of
+    creation, number of points."""
+    of_latest = [F.max_by(c, "seq").alias(c) for c in ("state", "epoch")]
+    first = F.min_by("epoch", "seq").alias("created_epoch")
+    known = points.groupBy("feed_id", "track_id").agg(*of_latest, first, F.min("ts_ns").alias("first_seen"), F.count("*").alias("n_points"))
+    found = ids.join(known, ["feed_id", "track_id"], "left")
+    return found.withColumn("has_track", F.col("n_points").isNotNull()).withColumn("n_points", F.coalesce("n_points", F.lit(0).cast("long")))
+
+
 def eviction_order(rows: DataFrame) -> DataFrame:
     """Candidates of each feed in the order of eviction."""
     rank = F.array_position(F.array(*map(F.lit, EVICTION_ORDER)), F.col("state"))

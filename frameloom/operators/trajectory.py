@@ -5,9 +5,14 @@ Input rows: feed_id, track_id, seq, ts_ns, x, y, state, epoch.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from frameloom.functions.geometry import affine_point, affine_then
+from frameloom.operators.folds import fold_rows
+
 TRACK = ("feed_id", "track_id")
 SEGMENT = (*TRACK, "segment")
 STATIONARY, STILL = 0.005, 1e-6  # speed and net displacement below which a segment stands still or has no direction
@@ -95,17 +100,67 @@ def newest(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("back", back).filter(F.col("back") <= n).drop("back")
 
 
-def compensated(rows: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Points moved by the compensations (feed_id, seq, tx, ty) of later frames within their segment's lifetime.
+def closed_by_restart(points: DataFrame, session: Column) -> DataFrame:
+    """Segments that a feed's restart closes: of each session but a feed's last, each track's last segment, unless
+    Lost has closed it. Histories of different sessions never meet."""
+    rows = points.withColumn("feed_id", F.struct("feed_id", session.alias("session")))
+    g = segmented(rows).groupBy(*TRACK).agg(F.max("segment").alias("segment"), F.max_by("state", "seq").alias("last_state"))
+    g = g.select("feed_id.feed_id", "feed_id.session", "track_id", "segment", "last_state")
+    last = F.max("session").over(Window.partitionBy("feed_id"))
+    g = g.withColumn("last", last).filter("session < last AND last_state <> 'Lost'")
+    return g.select("feed_id", "session", "track_id", "segment", F.lit("FeedRestart").alias("closed_by"))
+
+
+AFFINE = ("a", "b", "tx", "c", "d", "ty")
+UNMOVED = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+
+
+@dataclass
+class Chain:
+    """What a feed's compensations have come to, one applied after the other."""
 
-    Translations add up, so a point's shift is a difference of running sums: what its segment has got by its end less
-    what it had got by the point's own frame. The compensation of a frame comes before that frame's point.
+    n: int = 0
+    m: tuple = UNMOVED
+
+    def add(self, row: dict) -> list[tuple]:
+        a, b, tx, c, d, ty = (row[k] for k in AFFINE)
+        p, q, u, r, s, v = self.m
+        self.n, self.m = self.n + 1, (a * p + b * r, a * q + b * s, a * u + b * v + tx, c * p + d * r, c * q + d * s, c * u + d * v + ty)
+        return [(row["feed_id"], row["seq"], self.n, list(self.m))]
+
+
+def _since(rows: DataFrame, shifts: DataFrame) -> DataFrame:
+    """``rows`` with the transform (AFFINE) and number of the compensations after their own frame, up to the last frame
+    of their segment.
+
+    With C the product of a feed's compensations up to a frame, that is C at the segment's end times the inverse of C at
+    the row's own frame. Only the few compensations are folded in order; the rows meet them in windows. Compensations
+    are invertible, as camera motions are.
     """
-    running = Window.partitionBy("feed_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = shifts.select("feed_id", "seq", "tx", "ty", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("track_id"), F.lit(None).cast("long").alias("segment"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    points = rows.select("feed_id", "seq", F.lit(0.0).alias("tx"), F.lit(0.0).alias("ty"), F.lit(1).alias("kind"), "track_id", "segment", "x", "y")
-    sums = {f"sum_{c}": F.sum(c).over(running) for c in ("tx", "ty")} | {"so_far": F.sum(1 - F.col("kind")).over(running)}
-    both = marks.unionByName(points).withColumns(sums).filter("kind = 1")
-    segment = Window.partitionBy(*SEGMENT)
-    moved = {c: F.col(c) + F.max_by(f"sum_t{c}", "seq").over(segment) - F.col(f"sum_t{c}") for c in ("x", "y")}
-    return both.select(*SEGMENT, "seq", *[c.alias(n) for n, c in moved.items()], (F.max("so_far").over(segment) - F.col("so_far")).alias("n_compensations"))
+    chain = fold_rows(shifts.select("feed_id", "seq", *AFFINE), ["feed_id"], ["seq"], Chain, lambda s, r: s.add(r), "feed_id long, seq long, n long, m array<double>")
+    marks = chain.select("feed_id", "seq", F.struct("n", "m").alias("chain"), F.lit(0).alias("kind"))
+    both = rows.withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("feed_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array(*map(F.lit, UNMOVED)).alias("m"))
+    both = both.withColumn("chain", F.coalesce(F.last("chain", ignorenulls=True).over(w), none)).filter("kind = 1")
+    both = both.withColumn("end", F.max_by("chain", "seq").over(Window.partitionBy(*SEGMENT)))
+    p, q, u, r, s, v = (F.col("chain.m")[k] for k in range(6))
+    det = p * s - q * r
+    back = [s / det, -q / det, (q * v - s * u) / det, -r / det, p / det, (r * u - p * v) / det]
+    since = affine_then(back, [F.col("end.m")[k] for k in range(6)])
+    return both.withColumns({k: m for k, m in zip(AFFINE, since, strict=True)} | {"n_compensations": F.col("end.n") - F.col("chain.n")}).drop("chain", "end", "kind")
+
+
+def compensated(rows: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Points moved by the compensations (feed_id, seq, AFFINE) of later frames within their segment's lifetime. The
+    compensation of a frame comes before that frame's point."""
+    found = _since(rows.select(*SEGMENT, "seq", "x", "y"), shifts)
+    x, y = affine_point([F.col(k) for k in AFFINE], F.col("x"), F.col("y"))
+    return found.select(*SEGMENT, "seq", x.alias("x"), y.alias("y"), "n_compensations")
+
+
+def segment_transforms(rows: DataFrame, shifts: DataFrame) -> DataFrame:
+    """One row per segment: the compensations it has got, as one transform (AFFINE), and their number."""
+    found = _since(rows.select(*SEGMENT, "seq"), shifts)
+    first = lambda c, n: F.min_by(c, "seq").alias(n)
+    return found.groupBy(*SEGMENT).agg(first("n_compensations", "n"), *[first(k, k) for k in AFFINE])

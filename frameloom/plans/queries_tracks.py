@@ -61,32 +61,34 @@ def agg_traj_counts(t):
     return g.groupBy("feed_id").agg(F.count("*").alias("total_points"), F.countDistinct("track_id", "segment").alias("segment_count"), F.countDistinct("track_id").alias("track_count"))
 
 
-SHIFTS = "sh AS (SELECT feed_id, seq, cast(k % 40 AS double) / 1000 AS tx, cast(k % 30 AS double) / 1000 AS ty FROM reports WHERE k % 9 = 0)"
+SHIFTS = """sh AS (SELECT feed_id, seq, {a: 1 + cast(k % 7 AS double) / 1000, b: cast(k % 5 AS double) / -1000, tx: cast(k % 40 AS double) / 1000,
+  c: cast(k % 5 AS double) / 1000, d: 1 - cast(k % 3 AS double) / 1000, ty: cast(k % 30 AS double) / 1000} AS m FROM reports WHERE k % 9 = 0)"""
+# p, then q, of a list of transforms
+COMPOSED = """list_reduce(list_prepend({a: 1e0, b: 0e0, tx: 0e0, c: 0e0, d: 1e0, ty: 0e0}, coalesce(list(m ORDER BY sh.seq) FILTER (m IS NOT NULL), [])), lambda p, q:
+  {a: q.a * p.a + q.b * p.c, b: q.a * p.b + q.b * p.d, tx: q.a * p.tx + q.b * p.ty + q.tx, c: q.c * p.a + q.d * p.c, d: q.c * p.b + q.d * p.d, ty: q.c * p.tx + q.d * p.ty + q.ty})"""
 
 
 def shifts(t):
     k = F.col("k")
-    return t.reports.filter("k % 9 = 0").select("feed_id", "seq", ((k % 40).cast("double") / 1000).alias("tx"), ((k % 30).cast("double") / 1000).alias("ty"))
+    m = {"a": 1 + k % 7 / 1000, "b": k % 5 / -1000, "tx": k % 40 / 1000, "c": k % 5 / 1000, "d": 1 - k % 3 / 1000, "ty": k % 30 / 1000}
+    return t.reports.filter("k % 9 = 0").select("feed_id", "seq", *[c.alias(n) for n, c in m.items()])
 
 
-LIFE = f"""WITH {POINTS}, {SHIFTS}, l AS (SELECT {SEG}, max(seq) AS last_seq FROM g GROUP BY ALL)
-SELECT g.feed_id, g.track_id, g.segment, g.seq, round(any_value(g.x) + coalesce(sum(tx), 0e0), 6) AS x, round(any_value(g.y) + coalesce(sum(ty), 0e0), 6) AS y, count(tx) AS n_compensations
-FROM g JOIN l USING ({SEG}) LEFT JOIN sh ON sh.feed_id = g.feed_id AND sh.seq > g.seq AND sh.seq <= l.last_seq GROUP BY ALL"""
-
-
-@query("view_compensate", LIFE)
+@query("view_compensate", f"""WITH {POINTS}, {SHIFTS}, l AS (SELECT {SEG}, max(seq) AS last_seq FROM g GROUP BY ALL),
+z AS (SELECT g.feed_id, g.track_id, g.segment, g.seq, any_value(g.x) AS x, any_value(g.y) AS y, {COMPOSED} AS t, count(m) AS n_compensations
+FROM g JOIN l USING ({SEG}) LEFT JOIN sh ON sh.feed_id = g.feed_id AND sh.seq > g.seq AND sh.seq <= l.last_seq GROUP BY ALL)
+SELECT {SEG}, seq, round(t.a * x + t.b * y + t.tx, 6) AS x, round(t.c * x + t.d * y + t.ty, 6) AS y, n_compensations FROM z""")
 def view_compensate(t):
     m = tj.compensated(tj.segmented(t.track_points), shifts(t))
     return m.select(*tj.SEGMENT, "seq", r6(F.col("x"), "x"), r6(F.col("y"), "y"), "n_compensations")
 
 
-@query("agg_affine_cum", f"""WITH {POINTS}, {SHIFTS}, l AS (SELECT {SEG}, min(seq) AS s0, max(seq) AS s1 FROM g GROUP BY ALL)
-SELECT {SEG}, count(tx) AS n, round(coalesce(sum(tx), 0e0), 6) AS tx, round(coalesce(sum(ty), 0e0), 6) AS ty FROM l LEFT JOIN sh ON sh.feed_id = l.feed_id AND sh.seq > s0 AND sh.seq <= s1 GROUP BY ALL""".replace(f"SELECT {SEG}, count(tx)", "SELECT l.feed_id, l.track_id, l.segment, count(tx)"))
+@query("agg_affine_cum", f"""WITH {POINTS}, {SHIFTS}, l AS (SELECT {SEG}, min(seq) AS s0, max(seq) AS s1 FROM g GROUP BY ALL),
+z AS (SELECT l.feed_id, l.track_id, l.segment, count(m) AS n, {COMPOSED} AS t FROM l LEFT JOIN sh ON sh.feed_id = l.feed_id AND sh.seq > s0 AND sh.seq <= s1 GROUP BY ALL)
+SELECT {SEG}, n, {", ".join(f"round(t.{k}, 6) AS {k}" for k in tj.AFFINE)} FROM z""")
 def agg_affine_cum(t):
-    rows = tj.segmented(t.track_points)
-    m = tj.compensated(rows.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)}), shifts(t))
-    first = lambda c: F.min_by(c, "seq")
-    return m.groupBy(*tj.SEGMENT).agg(first("n_compensations").alias("n"), F.round(first("x"), 6).alias("tx"), F.round(first("y"), 6).alias("ty"))
+    m = tj.segment_transforms(tj.segmented(t.track_points), shifts(t))
+    return m.select(*tj.SEGMENT, "n", *[r6(F.col(k), k) for k in tj.AFFINE])
 
 
 @query("win_ring", "SELECT feed_id, track_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY feed_id, track_id ORDER BY seq DESC) AS b FROM track_points) WHERE b <= 50")
@@ -152,9 +154,14 @@ def st_lookup(t):
     return tj.segmented(t.track_points).groupBy("feed_id", "track_id").agg(F.count("*").alias("trajectory_points"), F.max("segment").alias("segments"), F.max("ts_ns").alias("last_seen"))
 
 
-@query("st_trackstore", f"WITH {LATEST} SELECT feed_id, track_id, state, epoch FROM l WHERE track_id % 5 = 3")
+@query("st_trackstore", f"""WITH {LATEST}, a AS (SELECT DISTINCT feed_id, track_id + more AS track_id FROM track_points, (VALUES (0), (100)) AS v(more)),
+c AS (SELECT feed_id, track_id, count(*) AS n_points, min(ts_ns) AS first_seen, arg_min(epoch, seq) AS created_epoch FROM track_points GROUP BY ALL)
+SELECT a.feed_id, a.track_id, l.track_id IS NOT NULL AS has_track, l.state, l.epoch, created_epoch, first_seen, coalesce(n_points, 0) AS n_points
+FROM a LEFT JOIN l ON l.feed_id = a.feed_id AND l.track_id = a.track_id LEFT JOIN c ON c.feed_id = a.feed_id AND c.track_id = a.track_id""")
 def st_trackstore(t):
-    return store.window_retained(t.track_points).filter("track_id % 5 = 3").select("feed_id", "track_id", "state", "epoch")
+    # every track, and as many ids that no track has
+    ids = t.track_points.select("feed_id", F.explode(F.array(F.col("track_id"), F.col("track_id") + 100)).alias("track_id")).distinct()
+    return store.looked_up(t.track_points, ids)
 
 
 ENDS = "WITH f AS (SELECT DISTINCT feed_id, cast((seq - seq % 8) / 8 AS bigint) AS frame, track_id FROM track_points)"
@@ -212,12 +219,14 @@ def trk_mock(t):
     return t.detections.select("feed_id", "seq", "det_id", number.alias("track_id"), F.lit("Confirmed").alias("state"))
 
 
-@query("st_close_all", f"WITH {POINTS}, b AS (SELECT {SEG}, max(seq) AS last_seq, arg_max(state, seq) AS last_state FROM g WHERE seq < 1000 GROUP BY ALL) SELECT feed_id, track_id, max(segment) AS segment, 'FeedRestart' AS closed_by FROM b GROUP BY feed_id, track_id HAVING arg_max(last_state, segment) <> 'Lost'")
+@query("st_close_all", """WITH k AS (SELECT *, cast((seq - seq % 1000) / 1000 AS bigint) AS session FROM track_points),
+d AS (SELECT *, coalesce(max(CASE WHEN state = 'Lost' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM k WINDOW w AS (PARTITION BY feed_id, session, track_id ORDER BY seq)),
+e AS (SELECT *, lag(epoch) OVER (PARTITION BY feed_id, session, track_id ORDER BY seq) AS e0 FROM d WHERE gone = 0),
+g AS (SELECT feed_id, session, track_id, count(*) FILTER (e0 IS NULL OR e0 <> epoch) AS segment, arg_max(state, seq) AS last_state FROM e GROUP BY ALL)
+SELECT feed_id, session, track_id, segment, 'FeedRestart' AS closed_by FROM (SELECT *, max(session) OVER (PARTITION BY feed_id) AS last FROM g) WHERE session < last AND last_state <> 'Lost'""")
 def st_close_all(t):
-    # a restart at frame 1000 closes each track's open segment
-    rows = tj.segmented(t.track_points.filter("seq < 1000"))
-    g = rows.groupBy("feed_id", "track_id").agg(F.max("segment").alias("segment"), F.max_by("state", "seq").alias("last_state"))
-    return g.filter("last_state <> 'Lost'").select("feed_id", "track_id", "segment", F.lit("FeedRestart").alias("closed_by"))
+    # each feed restarts at every thousandth frame
+    return tj.closed_by_restart(t.track_points, F.floor(F.col("seq") / 1000))
 
 
 def filtered(t, step):

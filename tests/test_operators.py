@@ -256,6 +256,65 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(seen[0]) == want and sorted(seen[1]) == want
 
 
+DAY = 86_400 * 10**9  # a watermark begins at 0, so rows do not
+ENDED = {
+    "queue": (lambda: flow.Queue(2), flow.Queue.push, flow.QUEUED, flow.Queue.close, lambda df: flow.queued(df, 2)),
+    "throttle": (flow.Throttle, flow.Throttle.see, flow.COALESCED, flow.Throttle.stop, flow.coalesced),
+    "coordinator": (
+        lambda: flow.Coordinator(2, 3, 50_000_000, 12, 60_000_000), flow.Coordinator.submit, "feed_id long, seq long, outcome string", flow.Coordinator.close,
+        lambda df: flow.submitted(df, 2, 3, 50_000_000, 12, 10_000_000),
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ENDED))
+def test_stream_with_an_end_equals_batch(spark, tmp_path, name):
+    """Rows that wait at the end come out once the watermark has passed; a feed idle for long is finished."""
+    start, step, out, finish, batch = ENDED[name]
+    ddl = "feed_id long, seq long, event_id long, processor_id long, arrival_ns long, ts_ns long, service_ns long, bad boolean, delta long"
+    rows = [(k % 3, k, k, k % 3, DAY + k * 7_000_000, DAY + k * 7_000_000, 30_000_000, k % 50 > 10 or k > 290, 1) for k in range(300)]
+    df = spark.createDataFrame(rows, ddl)
+    clock = spark.createDataFrame([(99, 10**6 + k, 10**6 + k, 99, DAY * t, DAY * t, 1, False, 0) for k, t in enumerate((2, 3, 4))], ddl)
+    for k in range(3):  # files in order of time, then rows of another feed that move the watermark
+        df.filter(F.floor(F.col("seq") / 100) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for k in range(3):
+        clock.filter(F.col("seq") == 10**6 + k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("at", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)))
+    order = ["ts_ns", "event_id"] if name == "throttle" else ["arrival_ns", "seq"]
+    folded = fold_stream(stream, ["feed_id"], order, start, step, out, finish, "at")
+    seen = []
+    fan_out(folded, [lambda b, _: seen.extend(map(tuple, b.collect()))], str(tmp_path / "cp")).awaitTermination(120)
+    want = sorted(map(str, map(tuple, batch(df).collect())))
+    assert sorted(str(r) for r in seen if r[0] != 99) == want and want
+
+
+def test_stream_leaves_out_late_rows(spark, tmp_path):
+    ddl = "feed_id long, seq long, arrival_ns long, service_ns long"
+    for k, t in enumerate((0, 100, 200, 5, 300)):  # seconds; the fourth is behind the watermark
+        spark.createDataFrame([(1, k, DAY + t * 10**9, 1)], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream = stream.withColumn("at", F.timestamp_micros(F.floor(F.col("arrival_ns") / 1000)))
+    folded = fold_stream(stream, ["feed_id"], ["arrival_ns"], flow.Queue, flow.Queue.push, flow.QUEUED, flow.Queue.close, "at", idle_ms=10**9)
+    seen = []
+    fan_out(folded, [lambda b, _: seen.extend(r.seq for r in b.collect())], str(tmp_path / "cp")).awaitTermination(120)
+    assert seen == [0, 1, 2, 4]
+
+
+def test_compensation_is_one_transform_after_the_other(spark):
+    """A zoom, then a turn, then a shift, of points of two segments."""
+    points = spark.createDataFrame([(1, 1, s, s, float(s), 2.0, "Confirmed", 0 if s < 6 else 1) for s in range(8)], "feed_id long, track_id long, seq long, ts_ns long, x double, y double, state string, epoch long")
+    moves = {1: (2.0, 0.0, 0.0, 0.0, 2.0, 0.0), 3: (0.0, -1.0, 0.5, 1.0, 0.0, 0.0), 5: (1.0, 0.2, 0.1, 0.0, 1.0, -0.3), 7: (0.5, 0.0, 0.0, 0.0, 0.5, 1.0)}
+    shifts = spark.createDataFrame([(1, s, *m) for s, m in moves.items()], "feed_id long, seq long, a double, b double, tx double, c double, d double, ty double")
+    got = {r.seq: r for r in trajectory.compensated(trajectory.segmented(points), shifts).collect()}
+    for s in range(8):
+        x, y, n = float(s), 2.0, 0
+        for at, (a, b, tx, c, d, ty) in moves.items():
+            if s < at <= (5 if s < 6 else 7):
+                x, y, n = a * x + b * y + tx, c * x + d * y + ty, n + 1
+        assert got[s].n_compensations == n and abs(got[s].x - x) < 1e-9 and abs(got[s].y - y) < 1e-9
+
+
 def test_in_flight_cap(spark):
     got = flow.submitted(arrivals(spark, [(0, 10), (5, 10), (10, 10), (12, 1), (25, 1)])).orderBy("seq").collect()
     assert [r.outcome for r in got] == ["Accepted", "InFlightCapReached", "Accepted", "InFlightCapReached", "Accepted"]
