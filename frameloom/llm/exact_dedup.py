@@ -154,7 +154,7 @@ def _batch(groups: list[list]) -> pa.RecordBatch:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = ContentTable()
-    for record in _records(batches):
+    for record in _records(map(_serialised, batches)):
         table.add(record)
         if table.bytes > LOCAL_BYTES:
             yield from _batches(table.entries)
@@ -168,19 +168,36 @@ def _spill_folder() -> str | None:
     return random.choice(disks) if disks else None
 
 
-def _grace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    with tempfile.TemporaryDirectory(dir=_spill_folder()) as folder:
-        for batch in _batches(grace_groups(_records(batches), BUCKET_BYTES, folder)):
-            yield batch.drop_columns(["text"])
+def _serialised(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of GROUPS; further columns than the first five are the row, and become one column."""
+    own = [c.to_pylist() for c in batch.columns[5:]]
+    rows = [pickle.dumps(row, 5) for row in zip(*own, strict=True)] if own else [b""] * batch.num_rows
+    return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(rows, pa.binary())], GROUP_NAMES)
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Groups of ``rows`` (GROUPS), each folded where it is before its content crosses the network."""
-    return rows.mapInArrow(_fold, GROUPS).repartition("sha").mapInArrow(_grace, GROUPS.replace("text string, ", ""))
+def _grace(kinds: pa.Schema | None):
+    """The groups, or with ``kinds`` the rows they carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory(dir=_spill_folder()) as folder:
+            for batch in _batches(grace_groups(_records(batches), BUCKET_BYTES, folder)):
+                if kinds is None:
+                    yield batch.select(["sha", "late", "keep_id", "group_size"])
+                else:
+                    columns = zip(*map(pickle.loads, batch.column("row").to_pylist()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+
+    return run
 
 
-def _ranked(text: Column, doc_id: Column, row: Column) -> list[Column]:
-    """GROUPS of single rows."""
+def _folded(rows: DataFrame) -> DataFrame:
+    """``rows`` (the first five of GROUPS, and perhaps columns of a row), each group folded where it is before its
+    content crosses the network."""
+    return rows.mapInArrow(_fold, GROUPS).repartition("sha")
+
+
+def _ranked(text: Column, doc_id: Column) -> list[Column]:
+    """The first five of GROUPS of single rows."""
     doc_id = doc_id.cast("long")
     return [
         F.unhex(F.sha2(text, 256)).alias("sha"),
@@ -188,14 +205,14 @@ def _ranked(text: Column, doc_id: Column, row: Column) -> list[Column]:
         doc_id.isNull().alias("late"),
         F.coalesce(doc_id, F.lit(0).cast("long")).alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
-        row.alias("row"),
     ]
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:
     """One row per distinct text: sha (SHA-256 of the normalised text), keep_id, group_size."""
     rows = text_column(docs, {"doc_id": "long", "text": "string"}).select(normalised(F.col("text")).alias("text"), "doc_id")
-    groups = _groups(rows.select(_ranked(F.col("text"), F.col("doc_id"), F.lit(b""))))
+    folded = _folded(rows.select(_ranked(F.col("text"), F.col("doc_id"))))
+    groups = folded.mapInArrow(_grace(None), "sha binary, late boolean, keep_id long, group_size long")
     return groups.select("sha", F.when(~F.col("late"), F.col("keep_id")).alias("keep_id"), "group_size")
 
 
@@ -218,32 +235,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def _serialised():
-    """Rows with a further column: the row's other values, serialised."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            own = [c.to_pylist() for c in columns[5:]]
-            rows = [pickle.dumps(row, 5) for row in zip(*own, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns[:5], pa.array(rows, pa.binary())], GROUP_NAMES)
-
-    return run
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns; each text crosses the network once."""
-    keys = _ranked(normalised(F.col("text")), F.col("doc_id"), F.lit(None))[:5]
-    rows = docs.select(*[k.alias(f"__key{n}") for n, k in enumerate(keys)], "*")
-    schema, names = docs.schema, docs.columns
-    groups = _groups(rows.mapInArrow(_serialised(), GROUPS))
-
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kinds = to_arrow_schema(schema)
-        for batch in batches:
-            columns = zip(*map(pickle.loads, batch.column("row").to_pylist()), strict=True) if batch.num_rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], schema=kinds)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return groups.select("row").mapInArrow(restore, schema)
+    keys = _ranked(normalised(F.col("text")), F.col("doc_id"))
+    rows = docs.select(*[k.alias(f"__key{n}") for n, k in enumerate(keys)], *[F.col(f"`{c}`") for c in docs.columns])
+    return _folded(rows).mapInArrow(_grace(to_arrow_schema(docs.schema)), docs.schema)
