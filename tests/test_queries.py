@@ -44,9 +44,10 @@ def test_query(spark, oracle, name):
         assert len(got) or name == "top_drop_oldest"
 
 
-def test_entry_without_the_removable_parts(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_entry_without_the_removable_parts(tmp_path, gone):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op1_') for n in q), set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
     assert out.stdout.split() == [str(len(registry.QUERIES)), "False", "True"]
