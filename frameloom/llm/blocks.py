@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.bytesight import U64, rows_within, text_buffers
@@ -26,7 +26,10 @@ from frameloom.llm.storage import text_column
 
 BLOCK_BYTES = 2 << 20
 #: Keys per bucket, about.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 18
+#: Buckets or blocks that a task gets at least, about, as long as TASKS are enough; beyond, the session's number of
+#: shuffle partitions decides.
+EACH, TASKS = 4, 1 << 12
 BLOCKS = "block_id long, ids binary, late binary, sizes binary, text binary, note binary"
 QUESTIONS = "bucket long, block_id long, keys binary, more binary"
 ANSWERS = "block_id long, bucket long, keys binary"
@@ -254,8 +257,14 @@ def bounded(answers: list[dict], buckets: np.ndarray, bounds: np.ndarray) -> Ite
         yield r, bounds[k], bounds[k + 1]
 
 
-def by_bucket(questions: DataFrame) -> DataFrame:
-    return questions.repartition("bucket").sortWithinPartitions("bucket", "block_id")
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """Shuffle partitions for ``n`` buckets or blocks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n // EACH, TASKS))
+
+
+def by_bucket(questions: DataFrame, n_buckets: int) -> DataFrame:
+    tasks = tasks_for(questions.sparkSession, n_buckets)
+    return questions.repartition(tasks, "bucket").sortWithinPartitions("bucket", "block_id")
 
 
 def meet(blocks: DataFrame, answers: DataFrame, f: Callable[[Block, list[dict]], Iterator[tuple]], ddl: str) -> DataFrame:
@@ -270,5 +279,6 @@ def meet(blocks: DataFrame, answers: DataFrame, f: Callable[[Block, list[dict]],
         for group in grouped(rows, "block_id"):
             yield from f(Block.of(group[0]), group[1:])
 
-    both = wide(blocks, 0).unionByName(wide(answers, 1)).repartition("block_id").sortWithinPartitions("block_id", "tag")
+    tasks = tasks_for(blocks.sparkSession, blocks.count())
+    both = wide(blocks, 0).unionByName(wide(answers, 1)).repartition(tasks, "block_id").sortWithinPartitions("block_id", "tag")
     return map_rows(both, run, ddl)

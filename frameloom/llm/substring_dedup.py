@@ -164,10 +164,10 @@ def substring_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     packed = scratch.keep(B.pack(docs), "blocks", "uncompressed")
     n = B.buckets_for(packed, DENSITY)
-    answers = B.map_rows(B.by_bucket(B.map_rows(packed, _ask_anchors(n), B.QUESTIONS)), B.answer, B.ANSWERS)
+    answers = B.map_rows(B.by_bucket(B.map_rows(packed, _ask_anchors(n), B.QUESTIONS), n), B.answer, B.ANSWERS)
     noted = scratch.keep(B.meet(packed, answers, _note(n), B.BLOCKS), "noted", "uncompressed")
     scratch.drop("blocks")
     asked = B.map_rows(noted, _ask_windows(n), WINDOWS)
-    answers = B.map_rows(B.by_bucket(asked), _answer_windows, B.ANSWERS)
+    answers = B.map_rows(B.by_bucket(asked, n), _answer_windows, B.ANSWERS)
     out = B.meet(noted, answers, _remove(n, with_text), RESULT)
     return out if with_text else out.drop("kept_text")

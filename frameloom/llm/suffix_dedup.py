@@ -441,13 +441,13 @@ def suffix_dedup(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     packed = scratch.keep(B.pack(docs), "blocks", "uncompressed")
     n = B.buckets_for(packed, DENSITY)
-    answers = B.map_rows(B.by_bucket(B.map_rows(packed, _ask_grams(n), B.QUESTIONS)), B.answer, B.ANSWERS)
+    answers = B.map_rows(B.by_bucket(B.map_rows(packed, _ask_grams(n), B.QUESTIONS), n), B.answer, B.ANSWERS)
     noted = scratch.keep(B.meet(packed, answers, _note(n), NOTED), "noted", "uncompressed")
     scratch.drop("blocks")
     splits = find_splits(noted)
     noted = noted.drop("n_places", "sample")
     sent = B.map_rows(noted, _send(splits), SUFFIXES)
-    answers = scratch.keep(B.map_rows(B.by_bucket(sent), _sort(splits), "block_id long, bucket long, bytes binary"), "answers")
+    answers = scratch.keep(B.map_rows(B.by_bucket(sent, splits.n_cold + len(splits.strings) + 1), _sort(splits), "block_id long, bucket long, bytes binary"), "answers")
     splits = compared(answers, splits)
     out = B.meet(noted, answers.filter(F.col("block_id") != BOUNDARY), _remove(splits, with_bytes), RESULT)
     return out if with_bytes else out.drop("kept_bytes")
