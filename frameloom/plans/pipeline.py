@@ -149,18 +149,19 @@ def declared_problems(stages: DataFrame) -> DataFrame:
 
 
 def merged(outputs: DataFrame) -> DataFrame:
-    """Stage outputs (feed_id, seq, stage_no, detections, tracks, signals, artifacts) as one row per frame.
+    """Stage outputs (feed_id, seq, stage_no, detections, tracks, signals, scene_features, artifacts) as one row per frame.
 
-    Null detections or tracks leave the earlier ones; any non-null tracks make the frame authoritative.
+    Null detections or tracks leave the earlier ones; any non-null tracks make the frame authoritative. Signals and scene
+    features add up in the order of the stages; an artifact replaces an earlier one of its kind.
     """
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("stage_no")))
-    in_order = F.array_sort(F.collect_list(F.struct("stage_no", "signals", F.map_entries("artifacts").alias("entries"))))
+    in_order = F.array_sort(F.collect_list(F.struct("stage_no", "signals", "scene_features", F.map_entries("artifacts").alias("entries"))))
     g = outputs.groupBy("feed_id", "seq").agg(last("detections").alias("detections"), last("tracks").alias("tracks"), (F.count("tracks") > 0).alias("authoritative"), in_order.alias("parts"))
-    signals = F.flatten(F.transform("parts", lambda p: F.coalesce(p["signals"], F.array().cast("array<string>"))))
+    added = lambda c: F.flatten(F.filter(F.transform("parts", lambda p: p[c]), lambda v: v.isNotNull())).alias(c)
     entries = F.flatten(F.filter(F.transform("parts", lambda p: p["entries"]), lambda e: e.isNotNull()))
     kinds = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     newest = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return g.select("feed_id", "seq", "detections", "tracks", "authoritative", signals.alias("signals"), F.map_from_arrays(kinds, F.transform(kinds, newest)).alias("artifacts"))
+    return g.select("feed_id", "seq", "detections", "tracks", "authoritative", added("signals"), added("scene_features"), F.map_from_arrays(kinds, F.transform(kinds, newest)).alias("artifacts"))
 
 
 def surviving(runs: DataFrame) -> DataFrame:

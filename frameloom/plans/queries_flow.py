@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from frameloom.operators import flow, metrics, view
 from frameloom.plans import pipeline
-from frameloom.plans.queries_frames import PHASE, VIEW
+from frameloom.plans.queries_frames import PHASE, STABLE, STABLE_ROWS, VALID, VIEW
 from frameloom.plans.queries_scalar import r6
 from frameloom.registry import query
 
@@ -142,23 +142,19 @@ def agg_counters(t):
     return metrics.health_counters(t.health_events)
 
 
-BATCH = """WITH b AS (SELECT *, sum(cast(ok AS int)) OVER (PARTITION BY processor_id ORDER BY dispatch_id) AS run FROM batch_dispatches), c AS (SELECT *, run = max(run) OVER (PARTITION BY processor_id) AND NOT ok AS tail FROM b),
-g AS (SELECT processor_id, count(*) AS dispatched, cast(sum(size) AS bigint) AS items, cast(sum(rejected) AS bigint) AS rejected, min(size) AS min_size, max(size) AS max_size, count(*) FILTER (tail) AS consecutive_errors,
-sum(processing_ns)::DOUBLE AS p, sum(formation_ns)::DOUBLE AS f FROM c GROUP BY processor_id)
+BATCH = """b AS (SELECT *, sum(cast(ok AS int)) OVER (PARTITION BY processor_id ORDER BY dispatch_id) AS run FROM batch_dispatches), c AS (SELECT *, run = max(run) OVER (PARTITION BY processor_id) AND NOT ok AS tail FROM b),
+g AS (SELECT processor_id, count(*) AS dispatched, cast(sum(size) AS bigint) AS items, cast(sum(submitted) AS bigint) AS submitted, cast(sum(rejected) AS bigint) AS rejected, cast(sum(timed_out) AS bigint) AS timed_out,
+min(size) AS min_size, max(size) AS max_size, count(*) FILTER (tail) AS consecutive_errors, sum(processing_ns)::DOUBLE AS p, sum(formation_ns)::DOUBLE AS f FROM c GROUP BY processor_id)
 """
+PENDING = "greatest(submitted - items - rejected, 0) AS pending_items"
 
 
-@query("agg_batch_metrics", BATCH + "SELECT processor_id, dispatched, items, rejected, min_size, max_size, consecutive_errors, round(rejected / (items + rejected), 6) AS rejection_rate, round(items / dispatched, 6) AS avg_batch_size, round(items / (dispatched * 8), 6) AS avg_fill_ratio, round(p / dispatched, 3) AS avg_processing_ns, round(f / dispatched, 3) AS avg_formation_ns FROM g")
+@query("agg_batch_metrics", f"WITH {BATCH} SELECT processor_id, dispatched, items, submitted, rejected, timed_out, {PENDING}, min_size, max_size, consecutive_errors, round(rejected / submitted, 6) AS rejection_rate, round(timed_out / submitted, 6) AS timeout_rate, round(items / dispatched, 6) AS avg_batch_size, round(items / (dispatched * 8), 6) AS avg_fill_ratio, round(p / dispatched, 3) AS avg_processing_ns, round(f / dispatched, 3) AS avg_formation_ns FROM g")
 def agg_batch_metrics(t):
     m = metrics.batch_metrics(t.batch_dispatches, 8)
-    rates = [r6(F.col(c), c) for c in ("rejection_rate", "avg_batch_size", "avg_fill_ratio")]
-    return m.select("processor_id", "dispatched", "items", "rejected", "min_size", "max_size", "consecutive_errors", *rates, *[F.round(c, 3).alias(c) for c in ("avg_processing_ns", "avg_formation_ns")])
-
-
-@query("agg_gauges", BATCH + ", u AS (SELECT processor_id, dispatched::DOUBLE AS dispatched, items::DOUBLE AS items, rejected::DOUBLE AS rejected, round(p / dispatched / 1e6, 6) AS processing_ms FROM g) UNPIVOT u ON dispatched, items, rejected, processing_ms INTO NAME gauge VALUE value")
-def agg_gauges(t):
-    m = metrics.batch_metrics(t.batch_dispatches, 8).withColumn("processing_ms", F.round(F.col("avg_processing_ns") / 1e6, 6))
-    return metrics.gauges(m, ["processor_id"], ["dispatched", "items", "rejected", "processing_ms"])
+    rates = [r6(F.col(c), c) for c in ("rejection_rate", "timeout_rate", "avg_batch_size", "avg_fill_ratio")]
+    counts = ("dispatched", "items", "submitted", "rejected", "timed_out", "pending_items", "min_size", "max_size", "consecutive_errors")
+    return m.select("processor_id", *counts, *rates, *[F.round(c, 3).alias(c) for c in ("avg_processing_ns", "avg_formation_ns")])
 
 
 FRAMES = f"WITH {VIEW}, {PHASE}, fr AS (SELECT feed_id, seq, epoch, k % 50 = 0 AS dropped, k % 20 AS tracks FROM q)"
@@ -169,17 +165,66 @@ def frames(t):
     return v.select("feed_id", "seq", view.epoch().alias("epoch"), (F.col("k") % 50 == 0).alias("dropped"), (F.col("k") % 20).alias("tracks"))
 
 
-@query("agg_feed_metrics", FRAMES + " SELECT feed_id, count(*) AS frames_received, count(*) FILTER (dropped) AS frames_dropped, count(*) FILTER (NOT dropped) AS frames_processed, arg_max(tracks, seq) AS tracks_active, max(epoch) AS view_epoch FROM fr GROUP BY feed_id")
+FEEDS = """r AS (SELECT feed_id, count(*) AS restarts FROM health_events WHERE kind = 'FeedRestarting' GROUP BY feed_id),
+fm AS (SELECT fr.feed_id, count(*) AS frames_received, count(*) FILTER (dropped) AS frames_dropped, count(*) FILTER (NOT dropped) AS frames_processed, arg_max(tracks, seq) AS tracks_active, max(epoch) AS view_epoch, max(seq) AS last_seq FROM fr GROUP BY fr.feed_id),
+m AS (SELECT fm.*, coalesce(restarts, 0) AS restarts FROM fm LEFT JOIN r ON fm.feed_id = r.feed_id)
+"""
+
+
+@query("agg_feed_metrics", f"{FRAMES}, {FEEDS} SELECT feed_id, frames_received, frames_dropped, frames_processed, tracks_active, view_epoch, restarts FROM m")
 def agg_feed_metrics(t):
-    return metrics.feed_metrics(frames(t))
+    return metrics.feed_metrics(frames(t), t.health_events)
+
+
+def feed_state(t):
+    """A feed's metrics with the view status and stability of its last frame."""
+    rows = view.decided(t.reports)
+    status = F.when(view.validity() == "Valid", "Stable").otherwise("Degraded")
+    last = metrics.latest(rows.select("feed_id", "seq", metrics.status_number(status).alias("view_status")))
+    stable = metrics.latest(view.stability(rows).select("feed_id", "seq", F.round("stability", 6).alias("view_stability_score")))
+    return metrics.feed_metrics(frames(t), t.health_events).join(last.join(stable, ["feed_id", "seq"]), "feed_id")
 
 
-@query("agg_diag", FRAMES + " SELECT string_agg(feed_id || ':' || s || ':' || tr, ',' ORDER BY feed_id) AS feeds FROM (SELECT feed_id, max(seq) AS s, arg_max(tracks, seq) AS tr FROM fr GROUP BY feed_id)")
+STATE = f""", {VALID}, {STABLE}, vs AS (SELECT feed_id, arg_max(CASE WHEN validity = 'Valid' THEN 0 ELSE 1 END, seq) AS view_status FROM w GROUP BY feed_id),
+sc AS (SELECT feed_id, arg_max(stability, seq) AS view_stability_score FROM ({STABLE_ROWS}) AS y GROUP BY feed_id)
+"""
+
+
+def _unpivoted(kind: str, source: str, subject: str, values: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}.{n}' AS gauge, {subject} AS subject, ({values.get(n, n)})::DOUBLE AS value FROM {source}" for n in metrics.GAUGES[kind])
+
+
+LOST = "(SELECT coalesce(sum(delta), 0) FROM health_events WHERE kind = 'OutputLagged')"
+WHOLE = f"(SELECT max(last_seq) / 10 AS uptime_seconds, count(*) AS feed_count, 64 AS max_feeds, {LOST} > 0 AS output_lag, {LOST} AS output_lag_pending_lost FROM m) AS x"
+FEED_SQL = {
+    "alive": "1", "paused": "0", "uptime_seconds": "last_seq / 10", "queue_source_depth": "last_seq % 5", "queue_source_capacity": "4", "queue_sink_depth": "last_seq % 17", "queue_sink_capacity": "16",
+}
+BATCH_SQL = {
+    "items_processed": "items", "items_submitted": "submitted", "items_rejected": "rejected", "items_timed_out": "timed_out", "avg_processing_ms": "round(p / dispatched / 1e6, 6)",
+    "avg_formation_ms": "round(f / dispatched / 1e6, 6)", "avg_fill_ratio": "round(items / (dispatched * 8), 6)", "pending_items": "greatest(submitted - items - rejected, 0)",
+}
+
+
+@query("agg_gauges", f"{FRAMES.replace('WITH', 'WITH RECURSIVE', 1)}, {FEEDS}{STATE}, {BATCH}, st AS (SELECT m.*, view_status, view_stability_score FROM m JOIN vs ON m.feed_id = vs.feed_id JOIN sc ON m.feed_id = sc.feed_id) SELECT * FROM ({_unpivoted('runtime', WHOLE, chr(39) * 2, {})} UNION ALL {_unpivoted('feed', 'st', 'feed_id::VARCHAR', FEED_SQL)} UNION ALL {_unpivoted('batch', 'g', 'processor_id', BATCH_SQL)}) AS z WHERE value IS NOT NULL")
+def agg_gauges(t):
+    n, put = F.col("seq"), lambda v: F.lit(v)
+    uptime = {"uptime_seconds": n / 10}
+    queues = {"queue_source_depth": n % 5, "queue_source_capacity": put(4), "queue_sink_depth": n % 17, "queue_sink_capacity": put(16)}
+    feeds = feed_state(t).withColumns({"alive": put(True), "paused": put(False), **uptime, **queues})
+    whole = feeds.agg(F.max("uptime_seconds").alias("uptime_seconds"), F.count("*").alias("feed_count"))
+    lost = t.health_events.filter("kind = 'OutputLagged'").agg(F.coalesce(F.sum("delta"), put(0)).alias("output_lag_pending_lost"))
+    whole = whole.join(lost, put(True)).withColumns({"max_feeds": put(64), "output_lag": F.col("output_lag_pending_lost") > 0})  # one row each
+    batches = metrics.batch_metrics(t.batch_dispatches, 8).withColumn("avg_fill_ratio", F.round("avg_fill_ratio", 6))
+    return metrics.gauges("runtime", whole, put("")).unionByName(metrics.gauges("feed", feeds, F.col("feed_id"))).unionByName(metrics.batch_gauges(batches))
+
+
+@query("agg_diag", f"{FRAMES}, {FEEDS}, {BATCH} SELECT (SELECT string_agg(feed_id || ':' || last_seq || ':' || tracks_active || ':' || restarts, ',' ORDER BY feed_id) FROM m) AS feeds, (SELECT string_agg(processor_id || ':' || dispatched || ':' || {PENDING.split(' AS ')[0]}, ',' ORDER BY processor_id) FROM g) AS batches")
 def agg_diag(t):
-    last = metrics.latest(frames(t))  # one row per feed
-    line = F.concat_ws(":", "feed_id", "seq", "tracks")
-    parts = F.array_sort(F.collect_list(F.struct("feed_id", line.alias("line"))))
-    return last.agg(F.array_join(F.transform(parts, lambda p: p["line"]), ",").alias("feeds"))
+    last = metrics.latest(frames(t)).select("feed_id", F.col("seq").alias("last_seq"))
+    feeds = metrics.feed_metrics(frames(t), t.health_events).join(last, "feed_id").select("feed_id", "last_seq", "tracks_active", "restarts")
+    batches = metrics.batch_metrics(t.batch_dispatches, 8).select("processor_id", "dispatched", "pending_items")
+    line = lambda name, *fields: F.array_join(F.transform(name, lambda p: F.concat_ws(":", *[p[c] for c in fields])), ",").alias(name)
+    return metrics.diagnostics(feeds, batches).select(line("feeds", *feeds.columns), line("batches", *batches.columns))
 
 
 @query("ord_diag", FRAMES + " SELECT feed_id, max(seq) AS seq FROM fr GROUP BY feed_id ORDER BY feed_id")
@@ -228,13 +273,13 @@ def pipe_linear(t):
     return p.run(t.detections).select("feed_id", "seq", "det_id", "cx", "sure")
 
 
-@query("pipe_merge", """WITH o AS (SELECT feed_id, seq, det_id AS stage_no, CASE WHEN det_id % 2 = 1 THEN class_id END AS detections, CASE WHEN det_id % 3 = 0 THEN class_id END AS tracks, 's' || det_id AS signal FROM detections)
-SELECT feed_id, seq, arg_max(detections, stage_no) FILTER (detections IS NOT NULL) AS detections, arg_max(tracks, stage_no) FILTER (tracks IS NOT NULL) AS tracks, count(tracks) > 0 AS authoritative, string_agg(signal, ',' ORDER BY stage_no) AS signals, arg_max(signal, stage_no) AS artifact FROM o GROUP BY ALL""")
+@query("pipe_merge", """WITH o AS (SELECT feed_id, seq, det_id AS stage_no, CASE WHEN det_id % 2 = 1 THEN class_id END AS detections, CASE WHEN det_id % 3 = 0 THEN class_id END AS tracks, 's' || det_id AS signal, CASE WHEN det_id % 4 < 2 THEN 'f' || class_id END AS feature FROM detections)
+SELECT feed_id, seq, arg_max(detections, stage_no) FILTER (detections IS NOT NULL) AS detections, arg_max(tracks, stage_no) FILTER (tracks IS NOT NULL) AS tracks, count(tracks) > 0 AS authoritative, string_agg(signal, ',' ORDER BY stage_no) AS signals, coalesce(string_agg(feature, ',' ORDER BY stage_no), '') AS scene_features, arg_max(signal, stage_no) AS artifact FROM o GROUP BY ALL""")
 def pipe_merge(t):
     signal = F.concat(F.lit("s"), F.col("det_id").cast("string"))
-    rows = t.detections.select("feed_id", "seq", F.col("det_id").alias("stage_no"), F.when(F.col("det_id") % 2 == 1, F.col("class_id")).alias("detections"), F.when(F.col("det_id") % 3 == 0, F.col("class_id")).alias("tracks"), F.array(signal).alias("signals"), F.create_map(F.lit("mark"), signal).alias("artifacts"))
+    rows = t.detections.select("feed_id", "seq", F.col("det_id").alias("stage_no"), F.when(F.col("det_id") % 2 == 1, F.col("class_id")).alias("detections"), F.when(F.col("det_id") % 3 == 0, F.col("class_id")).alias("tracks"), F.array(signal).alias("signals"), F.when(F.col("det_id") % 4 < 2, F.array(F.concat(F.lit("f"), F.col("class_id").cast("string")))).alias("scene_features"), F.create_map(F.lit("mark"), signal).alias("artifacts"))
     m = pipeline.merged(rows)
-    return m.select("feed_id", "seq", "detections", "tracks", "authoritative", F.array_join("signals", ",").alias("signals"), F.col("artifacts")["mark"].alias("artifact"))
+    return m.select("feed_id", "seq", "detections", "tracks", "authoritative", F.array_join("signals", ",").alias("signals"), F.array_join("scene_features", ",").alias("scene_features"), F.col("artifacts")["mark"].alias("artifact"))
 
 
 SURVIVE = "WITH f AS (SELECT feed_id, seq, min({'a': start_ns, 'b': stage_id}) FILTER (error IS NOT NULL) AS stop FROM stage_runs GROUP BY ALL), s AS (SELECT r.*, stop IS NOT NULL AS frame_dropped FROM stage_runs r JOIN f ON r.feed_id = f.feed_id AND r.seq = f.seq WHERE stop IS NULL OR {'a': start_ns, 'b': stage_id} <= stop)"

@@ -83,13 +83,13 @@ def view_status(t):
     return rows.select("feed_id", "seq", F.when(F.col("valid"), 0).otherwise(1).alias("ordinal"), F.when(F.col("valid"), "Stable").otherwise("Degraded").alias("status"))
 
 
-STABLE = """WITH RECURSIVE {view}, a AS (SELECT feed_id, seq, decision, CASE WHEN decision = 'Continue' AND motion = 'Stable' THEN 0.1e0 WHEN decision = 'Degrade' THEN -0.2e0 WHEN decision = 'Compensate' THEN -0.1e0 ELSE 0e0 END AS step FROM v),
-l AS (SELECT feed_id, list({{'seq': seq, 'step': CASE WHEN decision = 'Segment' THEN -9e0 ELSE step END}} ORDER BY seq) AS steps FROM a GROUP BY feed_id),
-r(feed_id, k, score) AS (SELECT feed_id, cast(0 AS bigint), 0e0 FROM l UNION ALL SELECT l.feed_id, k + 1, greatest(0e0, least(1e0, score + steps[k + 1].step)) FROM r JOIN l ON r.feed_id = l.feed_id AND k < len(steps))
-SELECT r.feed_id, steps[k].seq AS seq, round(score, 6) AS stability FROM r JOIN l ON r.feed_id = l.feed_id WHERE k > 0"""
+STABLE = """a AS (SELECT feed_id, seq, decision, CASE WHEN decision = 'Continue' AND motion = 'Stable' THEN 0.1e0 WHEN decision = 'Degrade' THEN -0.2e0 WHEN decision = 'Compensate' THEN -0.1e0 ELSE 0e0 END AS step FROM v),
+l AS (SELECT feed_id, list({'seq': seq, 'step': CASE WHEN decision = 'Segment' THEN -9e0 ELSE step END} ORDER BY seq) AS steps FROM a GROUP BY feed_id),
+sr(feed_id, k, score) AS (SELECT feed_id, cast(0 AS bigint), 0e0 FROM l UNION ALL SELECT l.feed_id, k + 1, greatest(0e0, least(1e0, score + steps[k + 1].step)) FROM sr JOIN l ON sr.feed_id = l.feed_id AND k < len(steps))"""
+STABLE_ROWS = "SELECT sr.feed_id, steps[k].seq AS seq, round(score, 6) AS stability FROM sr JOIN l ON sr.feed_id = l.feed_id WHERE k > 0"
 
 
-@query("win_stability", STABLE.format(view=VIEW))
+@query("win_stability", f"WITH RECURSIVE {VIEW}, {STABLE} {STABLE_ROWS}")
 def win_stability(t):
     return view.stability(view.decided(t.reports)).select("feed_id", "seq", r6(F.col("stability"), "stability"))
 

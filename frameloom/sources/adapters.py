@@ -65,7 +65,8 @@ SELECT cast(l_orderkey % 4 AS bigint) AS feed_id, l_orderkey AS seq, l_returnfla
 FROM {lineitem}""",
     "batch_dispatches": """
 SELECT o_orderpriority AS processor_id, n AS size, cast(floor(o_totalprice) AS bigint) AS processing_ns, cast(floor(o_totalprice / 3) AS bigint) AS formation_ns,
-       o_orderstatus <> 'F' AS ok, o_orderkey AS dispatch_id, o_custkey % 7 AS rejected
+       o_orderstatus <> 'F' AS ok, o_orderkey AS dispatch_id, o_custkey % 7 AS rejected, o_custkey % 3 AS timed_out,
+       n + o_custkey % 7 + cast(o_orderkey % 8 < 2 AS int) AS submitted
 FROM {orders} AS o JOIN (SELECT l_orderkey, cast(count(*) AS bigint) AS n FROM {lineitem} GROUP BY l_orderkey) AS l ON o_orderkey = l_orderkey""",
     "arrivals": """
 SELECT user_id % 5 AS feed_id, cast(row_number() OVER (PARTITION BY user_id % 5 ORDER BY [ts_us], event_id) AS bigint) - 1 AS seq,

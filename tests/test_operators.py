@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from frameloom import registry
 from frameloom.functions import clock, pixels, text
 from frameloom.functions.geometry import Box, angular_delta, clamp_unit
-from frameloom.operators import association, flow, store, tracker, trajectory, view
+from frameloom.operators import association, flow, metrics, store, tracker, trajectory, view
 from frameloom.plans.pipeline import BatchConfig, FeedConfig, Pipeline, Stage, batch_problems, declared_problems, merged
 from frameloom.sources import media
 from frameloom.streaming.sinks import fan_out
@@ -233,11 +233,35 @@ def test_pipeline_checks(spark):
 
 
 def test_merge_replaces_and_appends(spark):
-    rows = [(1, 1, 1, 5, None, ["a"], {"k": "1", "m": "1"}), (1, 1, 2, None, None, ["b"], {"k": "2"}), (1, 2, 1, None, 7, None, None)]
-    df = spark.createDataFrame(rows, "feed_id long, seq long, stage_no long, detections long, tracks long, signals array<string>, artifacts map<string,string>")
+    rows = [(1, 1, 1, 5, None, ["a"], ["x"], {"k": "1", "m": "1"}), (1, 1, 2, None, None, ["b"], ["y", "x"], {"k": "2"}), (1, 2, 1, None, 7, None, None, None)]
+    df = spark.createDataFrame(rows, "feed_id long, seq long, stage_no long, detections long, tracks long, signals array<string>, scene_features array<string>, artifacts map<string,string>")
     a, b = merged(df).orderBy("seq").collect()
     assert (a.detections, a.tracks, a.authoritative, a.signals, a.artifacts) == (5, None, False, ["a", "b"], {"k": "2", "m": "1"})
-    assert (b.tracks, b.authoritative, b.signals, b.artifacts) == (7, True, [], {})
+    assert a.scene_features == ["x", "y", "x"]
+    assert (b.tracks, b.authoritative, b.signals, b.scene_features, b.artifacts) == (7, True, [], [], {})
+
+
+def test_batch_measures(spark):
+    """Pending is what was neither processed nor rejected; rates are of all that was submitted, and null over nothing."""
+    rows = [("p", 1, 4, True, 6, 1, 2, 8_000_000, 2_000_000), ("p", 2, 2, False, 3, 0, 0, 4_000_000, 0), ("q", 1, 1, True, 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "processor_id string, dispatch_id long, size long, ok boolean, submitted long, rejected long, timed_out long, processing_ns long, formation_ns long")
+    m = metrics.batch_metrics(df, 4)
+    p, q = m.orderBy("processor_id").collect()
+    assert (p.items, p.submitted, p.pending_items, p.consecutive_errors, p.rejection_rate, p.timeout_rate) == (6, 9, 2, 1, 1 / 9, 2 / 9)
+    assert (q.pending_items, q.rejection_rate, q.timeout_rate) == (0, None, None)
+    got = {(r.subject, r.gauge): r.value for r in metrics.batch_gauges(m).collect()}
+    assert len(got) == 2 * len(metrics.GAUGES["batch"])
+    assert (got["p", "batch.avg_processing_ms"], got["p", "batch.avg_fill_ratio"], got["p", "batch.pending_items"]) == (6.0, 0.75, 2.0)
+
+
+def test_counted_events_and_status(spark):
+    kinds = ["SourceConnected", "ViewDegraded", "ViewDegraded", "FrameLag", "SourceEos", "FeedRestarting"]
+    events = spark.createDataFrame([(1, k, 5) for k in kinds], "feed_id long, kind string, delta long")
+    assert {r.kind: r.n for r in metrics.health_counters(events).collect()} == {"ViewDegraded": 2, "FrameLag": 5, "FeedRestarting": 1}
+    frames = spark.createDataFrame([(f, 1, 0, False, 3) for f in (1, 2)], "feed_id long, seq long, epoch long, dropped boolean, tracks long")
+    assert {r.feed_id: r.restarts for r in metrics.feed_metrics(frames, events).collect()} == {1: 1, 2: 0}
+    states = spark.createDataFrame([("Stable",), ("Degraded",), ("Invalid",), ("other",)], "s string")
+    assert [r[0] for r in states.select(metrics.status_number(F.col("s"))).collect()] == [0, 1, 2, None]
 
 
 def test_stream_equals_batch(spark, tmp_path):
