@@ -53,12 +53,22 @@ def agg_fps_ema(t):
     return flow.smoothed_fps(t.observations).select("feed_id", "seq", r6(F.col("fps"), "fps"))
 
 
-@query("strm_queue")
+def queue_sql(depth: int) -> str:
+    """One step serves the longest waiting row if its turn comes before the next arrival, else takes that arrival in."""
+    return f"""WITH RECURSIVE l AS (SELECT feed_id, list({{'a': arrival_ns, 'v': service_ns, 's': seq}} ORDER BY arrival_ns, seq) AS es FROM arrivals GROUP BY feed_id),
+r(feed_id, k, w, free_at, seq, dropped, hold_ns, done_ns) AS (SELECT feed_id, cast(0 AS bigint), es[1:0], cast(0 AS bigint), cast(NULL AS bigint), false, cast(NULL AS bigint), cast(NULL AS bigint) FROM l UNION ALL
+ SELECT feed_id, CASE WHEN turn THEN k ELSE k + 1 END, CASE WHEN turn THEN w[2:] WHEN len(w) >= {depth} THEN list_append(w[2:], e) ELSE list_append(w, e) END, CASE WHEN turn THEN begun + w[1].v ELSE free_at END,
+  CASE WHEN turn OR len(w) >= {depth} THEN w[1].s END, NOT turn, CASE WHEN turn THEN begun - w[1].a END, CASE WHEN turn THEN begun + w[1].v END
+ FROM (SELECT r.feed_id, k, w, free_at, es[k + 1] AS e, greatest(free_at, w[1].a) AS begun, len(w) > 0 AND (k = len(es) OR greatest(free_at, w[1].a) <= es[k + 1].a) AS turn FROM r JOIN l ON r.feed_id = l.feed_id AND (k < len(es) OR len(w) > 0)) AS s)
+"""
+
+
+@query("strm_queue", f"{queue_sql(4)} SELECT feed_id, seq, dropped, hold_ns, done_ns FROM r WHERE seq IS NOT NULL")
 def strm_queue(t):
     return flow.queued(t.arrivals)
 
 
-@query("top_drop_oldest")
+@query("top_drop_oldest", f"{queue_sql(2)} SELECT feed_id, seq FROM r WHERE seq IS NOT NULL AND dropped")
 def top_drop_oldest(t):
     return flow.queued(t.arrivals, depth=2).filter("dropped").select("feed_id", "seq")
 
@@ -87,7 +97,11 @@ def overloads(t):
     return t.health_events.select("feed_id", "ts_ns", "event_id", bad.alias("bad"), "delta")
 
 
-@query("strm_coalesce")
+@query("strm_coalesce", """WITH RECURSIVE x AS (SELECT feed_id, list({'t': ts_ns, 'bad': kind IN ('BackpressureDrop', 'SinkBackpressure', 'FrameLag', 'OutputLagged'), 'd': delta} ORDER BY ts_ns, event_id) AS es FROM health_events GROUP BY feed_id),
+r(feed_id, k, lit, g, since, ts_ns, kind, n) AS (SELECT feed_id, cast(0 AS bigint), false, cast(0 AS bigint), cast(0 AS bigint), cast(NULL AS bigint), cast(NULL AS varchar), cast(NULL AS bigint) FROM x UNION ALL
+ SELECT feed_id, k + 1, e.bad, CASE WHEN held THEN g + e.d ELSE 0 END, CASE WHEN e.bad AND NOT held THEN e.t ELSE since END, e.t, CASE WHEN NOT e.bad THEN CASE WHEN lit AND g > 0 THEN 'recovered' END WHEN NOT held THEN CASE WHEN lit THEN 'ongoing' ELSE 'began' END END, CASE WHEN e.bad THEN g + e.d ELSE g END
+ FROM (SELECT r.feed_id, k, lit, g, since, es[k + 1] AS e, lit AND es[k + 1].bad AND es[k + 1].t - since < 1000000000 AS held FROM r JOIN x ON r.feed_id = x.feed_id AND k < len(es)) AS s)
+SELECT feed_id, ts_ns, kind, n FROM r WHERE kind IS NOT NULL UNION ALL SELECT r.feed_id, ts_ns, 'stopped', g FROM r JOIN x ON r.feed_id = x.feed_id AND k = len(es) AND lit AND g > 0""")
 def strm_coalesce(t):
     return flow.coalesced(overloads(t))
 
@@ -113,7 +127,12 @@ def strm_windows(t):
     return g.select("event_type", F.unix_micros("w.start").alias("window_us"), "n")
 
 
-@query("src_fsm")
+@query("src_fsm", """WITH RECURSIVE x AS (SELECT feed_id, list({'t': ts_ns, 'id': event_id, 'kind': ['StreamStarted', 'Error', 'Warning', 'Eos', 'Pause', 'Resume', 'Timeout'][event_id % 7 + 1], 'loops': event_id % 11 <> 0} ORDER BY ts_ns, event_id) AS es FROM observations GROUP BY feed_id),
+r(feed_id, k, ts_ns, event_id, kind, state, attempts) AS (SELECT feed_id, cast(0 AS bigint), cast(0 AS bigint), cast(0 AS bigint), '', 'Idle', cast(0 AS bigint) FROM x UNION ALL
+ SELECT feed_id, k + 1, e.t, e.id, e.kind, CASE WHEN state = 'Stopped' OR (e.kind = 'Eos' AND NOT e.loops) THEN 'Stopped' WHEN e.kind = 'StreamStarted' THEN 'Running' WHEN e.kind IN ('Error', 'Timeout', 'Eos') THEN 'Reconnecting' WHEN e.kind = 'Pause' AND state = 'Running' THEN 'Paused' WHEN e.kind = 'Resume' AND state = 'Paused' THEN 'Running' ELSE state END,
+  CASE WHEN state = 'Stopped' OR (e.kind = 'Eos' AND NOT e.loops) THEN attempts WHEN e.kind = 'StreamStarted' THEN 0 WHEN e.kind IN ('Error', 'Timeout', 'Eos') THEN attempts + 1 ELSE attempts END
+ FROM (SELECT r.feed_id, k, state, attempts, es[k + 1] AS e FROM r JOIN x ON r.feed_id = x.feed_id AND k < len(es)) AS s)
+SELECT feed_id, ts_ns, event_id, kind, state, attempts FROM r WHERE k > 0""")
 def src_fsm(t):
     kinds = F.array(*map(F.lit, ("StreamStarted", "Error", "Warning", "Eos", "Pause", "Resume", "Timeout")))
     rows = t.observations.select("feed_id", "ts_ns", "event_id", F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int")).alias("kind"), (F.col("event_id") % 11 != 0).alias("loops"))

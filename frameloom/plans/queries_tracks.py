@@ -127,12 +127,25 @@ def st_retention(t):
     return store.retained(t.track_points).select("feed_id", "track_id", "kept")
 
 
-@query("st_commit")
+# one commit a step; ``w`` holds the feed's tracks, at most twelve
+COMMITS = """WITH RECURSIVE l AS (SELECT feed_id, list({'seq': seq, 'id': track_id, 't': ts_ns, 'state': state, 'epoch': epoch} ORDER BY seq) AS es FROM track_points GROUP BY feed_id),
+r(feed_id, k, w, seq, track_id, admitted, evicted) AS (SELECT feed_id, cast(0 AS bigint), [{'id': cast(0 AS bigint), 'first': cast(0 AS bigint), 'last': cast(0 AS bigint), 'state': '', 'epoch': cast(0 AS bigint), 'seen': cast(0 AS bigint), 'points': cast(0 AS bigint), 'segments': cast(0 AS bigint), 'lit': false}][1:0], cast(0 AS bigint), cast(0 AS bigint), false, cast(NULL AS bigint) FROM l UNION ALL
+ SELECT feed_id, k + 1, CASE WHEN h IS NULL AND len(w) >= 12 AND v IS NULL THEN aged ELSE list_append(list_filter(aged, lambda x: x.id <> e.id AND (h IS NOT NULL OR len(w) < 12 OR x.id <> v)),
+   {'id': e.id, 'first': coalesce(h.first, e.t), 'last': e.t, 'state': e.state, 'epoch': CASE WHEN h IS NULL OR h.lit THEN e.epoch ELSE h.epoch END, 'seen': least(coalesce(h.seen, 0) + 1, 100), 'points': CASE WHEN h IS NULL THEN 1 WHEN h.lit THEN least(h.points + 1, 1000) ELSE h.points END,
+    'segments': CASE WHEN h IS NULL THEN 1 WHEN h.lit AND h.epoch <> e.epoch THEN h.segments + 1 ELSE h.segments END, 'lit': coalesce(h.lit, true) AND e.state <> 'Lost'}) END,
+  e.seq, e.id, h IS NOT NULL OR len(w) < 12 OR v IS NOT NULL, CASE WHEN h IS NULL AND len(w) >= 12 THEN v END
+ FROM (SELECT r.feed_id, k, w, es[k + 1] AS e, list_filter(w, lambda x: x.id = es[k + 1].id)[1] AS h, list_filter(w, lambda x: x.state <> 'Lost' OR es[k + 1].t - x.last < 30000000000) AS aged,
+   list_sort(list_transform(list_filter(w, lambda x: x.state <> 'Confirmed'), lambda x: {'o': CASE x.state WHEN 'Lost' THEN 0 WHEN 'Coasted' THEN 1 ELSE 2 END, 'l': x.last, 'id': x.id}))[1].id AS v FROM r JOIN l ON r.feed_id = l.feed_id AND k < len(es)) AS s),
+c AS (SELECT feed_id, seq, track_id, admitted, evicted, cast(len(w) AS bigint) AS n_tracks, CASE WHEN admitted THEN w[-1].seen END AS n_observations, CASE WHEN admitted THEN w[-1].points END AS n_points, CASE WHEN admitted THEN w[-1].segments END AS n_segments, CASE WHEN admitted THEN w[-1].first END AS first_seen FROM r WHERE k > 0)
+"""
+
+
+@query("st_commit", f"{COMMITS} SELECT * FROM c")
 def st_commit(t):
     return store.commits(t.track_points, store.Retention(max_tracks=12))
 
 
-@query("st_admit")
+@query("st_admit", f"{COMMITS} SELECT feed_id, count(*) FILTER (admitted) AS admitted, count(*) FILTER (NOT admitted) AS rejected, count(evicted) AS evicted FROM c GROUP BY feed_id")
 def st_admit(t):
     done = store.commits(t.track_points, store.Retention(max_tracks=12))
     return done.groupBy("feed_id").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("rejected"), F.count("evicted").alias("evicted"))
