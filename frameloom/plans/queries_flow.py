@@ -81,7 +81,19 @@ def strm_batch_form(t):
     return flow.batched(t.arrivals, 4, 30_000_000_000)
 
 
-@query("strm_batch_submit")
+# one step answers the batch at the front if that is due before the next submission, else settles that submission; ``w`` waits,
+# ``b`` is gathered, ``done`` are answers to come (one in flight a feed, four a batch, sixteen waiting, 50 ms and 5 s)
+@query("strm_batch_submit", """WITH RECURSIVE l AS (SELECT list({'f': feed_id, 's': seq, 'a': arrival_ns, 'v': service_ns} ORDER BY arrival_ns, feed_id, seq) AS es FROM arrivals),
+r(k, free_at, begun, w, b, done, settled) AS (SELECT cast(0 AS bigint), cast(0 AS bigint), cast(0 AS bigint), es[1:0], es[1:0], [{'f': cast(0 AS bigint), 'd': cast(0 AS bigint)}][1:0], [{'f': cast(0 AS bigint), 's': cast(0 AS bigint), 'o': ''}][1:0] FROM l UNION ALL
+ SELECT CASE WHEN due THEN k ELSE k + 1 END, CASE WHEN due THEN answered ELSE free_at END, beg, CASE WHEN due OR cause <> '' THEN w ELSE list_append(w, e) END, CASE WHEN due THEN w[1:0] ELSE b END,
+  CASE WHEN due THEN list_concat(done, list_transform(b, lambda x: {'f': x.f, 'd': answered})) ELSE done END,
+  CASE WHEN due THEN list_transform(b, lambda x: {'f': x.f, 's': x.s, 'o': CASE WHEN answered - x.a > 5050000000 THEN 'Timeout' ELSE 'Accepted' END}) WHEN cause <> '' THEN [{'f': e.f, 's': e.s, 'o': cause}] ELSE [{'f': e.f, 's': e.s, 'o': cause}][1:0] END
+ FROM (SELECT *, CASE WHEN len(b) >= 4 THEN greatest(beg, b[-1].a) ELSE beg + 50000000 END + list_max(list_transform(b, lambda x: x.v)) AS answered, len(b) > 0 AND (len(b) >= 4 OR e IS NULL OR beg + 50000000 <= e.a) AS due,
+   CASE WHEN len(list_filter(w, lambda x: x.f = e.f)) + len(list_filter(b, lambda x: x.f = e.f)) + len(list_filter(done, lambda x: x.f = e.f)) >= 1 THEN 'InFlightCapReached' WHEN len(w) >= 16 THEN 'QueueFull' ELSE '' END AS cause
+  FROM (SELECT k, free_at, beg, e, list_filter(done, lambda x: e IS NULL OR x.d > e.a) AS done, CASE WHEN open THEN list_concat(b, w[1:4 - len(b)]) ELSE b END AS b, CASE WHEN open THEN w[5 - len(b):] ELSE w END AS w
+   FROM (SELECT k, free_at, w, b, done, e, CASE WHEN len(b) > 0 THEN begun ELSE greatest(free_at, w[1].a) END AS beg, len(b) > 0 OR (len(w) > 0 AND (e IS NULL OR greatest(free_at, w[1].a) <= e.a)) AS open
+    FROM (SELECT r.*, CASE WHEN k < len(es) THEN es[k + 1] END AS e FROM r, l WHERE k < len(es) OR len(w) > 0 OR len(b) > 0) AS s) AS s) AS s) AS s)
+SELECT x.f AS feed_id, x.s AS seq, x.o AS outcome FROM (SELECT unnest(settled) AS x FROM r) AS s""")
 def strm_batch_submit(t):
     return flow.submitted(t.arrivals, size=flow.BATCH_SIZE)
 
