@@ -16,13 +16,14 @@ scored each by itself; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.blocks import as_batches, arrow_schema, grouped, map_rows
+from frameloom.llm.blocks import as_batches, arrow_schema, map_rows
 from frameloom.llm.bytesight import SEEDS, U64, Words, byte_prefix, rows_within, span_hashes, text_buffers
 from frameloom.llm.storage import text_column
 
@@ -81,20 +82,27 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from as_batches(((k, s.tobytes()) for k, s in enumerate(strips)), arrow_schema("strip int, sums binary"))
 
 
-def _add(rows: Iterator[dict]) -> Iterator[tuple]:
-    for group in grouped(rows, "strip"):
-        yield group[0]["strip"], sum(np.frombuffer(r["sums"]) for r in group).tobytes()
+def _unit(rows: Iterator[dict]) -> Iterator[tuple]:
+    """The unit vectors of each strip, from the sums of all tasks."""
+    for strip, parts in groupby(rows, lambda r: r["strip"]):
+        total = np.zeros(STRIP * SIZE)
+        for r in parts:
+            total += np.frombuffer(r["sums"])
+        total = total.reshape(STRIP, SIZE)
+        yield strip, (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32).tobytes()
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
-    """(CELLS, SIZE) of unit vectors, from the texts of all rows."""
+    """(CELLS, SIZE) of unit vectors, from the texts of all rows.
+
+    They reach the driver as float32 in Arrow batches, which its JVM passes on: rows would be taken apart and pickled there.
+    """
     strips = text_column(docs, {"text": "string"}).mapInArrow(_contexts, "strip int, sums binary")
-    summed = map_rows(strips.repartition("strip").sortWithinPartitions("strip"), _add, "strip int, sums binary")
-    out = np.zeros((CELLS // STRIP, STRIP * SIZE))
-    for r in summed.collect():  # CELLS vectors in all
-        out[r["strip"]] = np.frombuffer(r["sums"])
-    out = out.reshape(CELLS, SIZE)
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    found = map_rows(strips.repartition("strip").sortWithinPartitions("strip"), _unit, "strip int, vectors binary").toArrow()
+    out = np.zeros((CELLS // STRIP, STRIP * SIZE), dtype=np.float32)
+    for k, v in zip(found["strip"], found["vectors"], strict=True):  # CELLS vectors in all
+        out[k.as_py()] = np.frombuffer(v.as_buffer(), np.float32)
+    return out.reshape(CELLS, SIZE)
 
 
 def pooled(contexts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,7 +132,10 @@ class Network:
         back = np.arange(len(y)) % 5 == 4
         if len(np.unique(y[back])) < 2 or len(np.unique(y[~back])) < 2:
             back = np.zeros(len(y), dtype=bool)
-        self._fit((x[~back] - self.mean) / self.scale, y[~back])
+        fitted = x[~back]
+        fitted -= self.mean
+        fitted /= self.scale
+        self._fit(fitted, y[~back])
         if back.any():
             z = self.logit(x[back])
             grid = np.geomspace(0.25, 8, 60)
@@ -180,9 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Quality:
 
     vectors = rows.mapInArrow(run, "doc_id long, quality int, x binary")
     # a doc_id that many rows share has all its rows join, so the rows are bounded too
-    found = sorted(vectors.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(MAX_LABELLED).collect())
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in found]).reshape(len(found), 2 * SIZE + 1)
-    return Quality(contexts, Network(x, np.array([r["quality"] for r in found], dtype=np.float64)))
+    found = vectors.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(MAX_LABELLED).toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "quality", "x")])
+    x = text_buffers(found["x"])[0].view(np.float32).reshape(len(found), 2 * SIZE + 1)
+    return Quality(contexts, Network(x, found["quality"].to_numpy().astype(np.float64)))
 
 
 def score(docs: DataFrame, model: Quality) -> DataFrame:

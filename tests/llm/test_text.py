@@ -170,6 +170,17 @@ def test_quality_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
     assert seen == [20]
 
 
+def test_quality_takes_little_of_the_drivers_memory(spark, monkeypatch):
+    """Rows would be taken apart and pickled in the driver's JVM; of the vectors, four bytes a number are enough."""
+    df = spark.createDataFrame([(k, f"text number {k}", k % 2) for k in range(200)], "doc_id long, text string, quality int")
+    brought, arrow = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: brought.append(arrow(self)) or brought[-1])
+    monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("rows in the driver"))
+    model = quality.learn(df, df)
+    assert sum(t.nbytes for t in brought) < 4 * quality.CELLS * quality.SIZE + 200 * (4 * (2 * quality.SIZE + 1) + 32) + 4096
+    assert model.contexts.dtype == np.float32 and 0.999 < np.linalg.norm(model.contexts, axis=1).max() < 1.001
+
+
 def license_reference(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     starts, labels = [], set()
