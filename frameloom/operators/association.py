@@ -54,40 +54,51 @@ def greedy(pairs: DataFrame, score: Column) -> DataFrame:
     return out.select("feed_id", "seq", F.col("m.track_id"), F.col("m.det_id"), (-F.col("m.cost")).alias("score"))
 
 
-def suppressed(boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
-    """Indices that stay: by falling score (ties by id), each suppresses later ones of its class."""
-    order = np.lexsort((ids, -scores))
-    keep, gone = [], np.zeros(len(ids), dtype=bool)
+def suppressed(boxes: np.ndarray, classes: np.ndarray, threshold: float, union_guard: bool = True) -> np.ndarray:
+    """Indices that stay of boxes in order of suppression: each suppresses later ones of its class.
+
+    The overlap is compared with ``threshold`` times the union, without a division, as SQL does: a quotient rounds to the
+    other side of the threshold for some pairs that lie on it. Not-a-number counts as in SQL: greatest, and equal to itself.
+    ``union_guard``: boxes whose union is not positive do not overlap.
+    """
+    keep, gone = [], np.zeros(len(boxes), dtype=bool)
     area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    for at, i in enumerate(order):
+    for i in range(len(boxes)):
         if gone[i]:
             continue
         keep.append(i)
-        rest = order[at + 1 :]
-        w = np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0])
-        h = np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1])
+        rest = slice(i + 1, None)
+        w = np.fmin(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0])
+        h = np.fmin(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1])
         both = np.maximum(w, 0) * np.maximum(h, 0)
         union = area[i] + area[rest] - both
-        iou = np.where(union > 0, both / np.where(union > 0, union, 1), 0)
-        gone[rest[(classes[rest] == classes[i]) & (iou >= threshold)]] = True
+        over = (both >= threshold * union) | np.isnan(both)
+        if union_guard:
+            over &= union > 0
+        gone[rest] |= (classes[rest] == classes[i]) & over
     return np.array(keep, dtype=int)
 
 
-def nms(detections: DataFrame, threshold: float = NMS_THRESHOLD) -> DataFrame:
-    """Rows (feed_id, seq, det_id) that survive class-aware suppression; frames stream through sorted partitions."""
-    wanted = ["feed_id", "seq", "det_id", "class_id", "conf", "x_min", "y_min", "x_max", "y_max"]
-    rows = detections.select(wanted).repartition("feed_id", "seq").sortWithinPartitions("feed_id", "seq")
+def nms(detections: DataFrame, threshold: float = NMS_THRESHOLD, union_guard: bool = True) -> DataFrame:
+    """Rows (feed_id, seq, det_id) that survive class-aware suppression, by falling score (ties by id, null last).
+
+    Frames stream through sorted partitions. A box with a null neither suppresses nor is suppressed.
+    """
+    box = ["x_min", "y_min", "x_max", "y_max"]
+    known = F.when(sum(map(F.col, box)).isNotNull(), F.col("class_id"))
+    rows = detections.select("feed_id", "seq", "det_id", known.alias("class_id"), "conf", *box).repartition("feed_id", "seq")
+    rows = rows.sortWithinPartitions("feed_id", "seq", F.desc_nulls_last("conf"), "det_id").drop("conf")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_frames(batches):
             frame = pdf[["feed_id", "seq"]].to_numpy()
             cuts = np.flatnonzero(np.any(frame[1:] != frame[:-1], axis=1)) + 1
-            box, score, kind, ids = pdf[wanted[5:]].to_numpy(), pdf["conf"].to_numpy(), pdf["class_id"].to_numpy(), pdf["det_id"].to_numpy()
+            boxes, kind = pdf[box].to_numpy(), pdf["class_id"].to_numpy()
             keep = np.ones(len(pdf), dtype=bool)
             for i, j in zip(np.append(0, cuts).tolist(), np.append(cuts, len(pdf)).tolist(), strict=True):
                 if j - i > 1:
                     keep[i:j] = False
-                    keep[i + suppressed(box[i:j], score[i:j], kind[i:j], ids[i:j], threshold)] = True
+                    keep[i + suppressed(boxes[i:j], kind[i:j], threshold, union_guard)] = True
             yield pdf.loc[keep, ["feed_id", "seq", "det_id"]]
 
     return rows.mapInPandas(run, "feed_id long, seq long, det_id long")

@@ -113,6 +113,11 @@ def test_nms_and_greedy(spark):
     assert sorted((r.track_id, r.det_id) for r in association.greedy(pairs, F.col("s")).collect()) == [(1, 1), (2, 2)]
 
 
+def test_suppression_of_empty_boxes():
+    empty = np.array([(0.1, 0.1, 0.1, 0.3), (0.5, 0.1, 0.5, 0.3)])
+    assert [association.suppressed(empty, np.zeros(2), 0.45, guard).tolist() for guard in (True, False)] == [[0, 1], [0]]
+
+
 def test_tensor_decoding(spark):
     rows = spark.createDataFrame([(1, [0.0, 0.0, 1.0, 1.0, 0.9, 2.0, 0.0, 0.0, 1.0, 1.0, 0.1, 2.0, 0.0, 0.0, 1.0, 1.0, float("nan"), 1.0]), (2, [1.0] * 7), (3, [])], "seq long, tensor array<double>")
     got = association.decode_tensor(rows, "tensor", 0.25, 10).collect()

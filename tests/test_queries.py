@@ -2,11 +2,14 @@
 
 import math
 import os
+import random
 import shutil
 import subprocess
 import sys
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from frameloom import registry
@@ -44,6 +47,24 @@ def test_query(spark, oracle, name):
         assert len(got)
 
 
+@pytest.mark.parametrize("kind", ["threshold", "odd"])
+def test_suppression_equals_its_sql(spark, tmp_path, kind):
+    """``threshold``: one pair whose overlap is 0.45 of the union, by a product but not by a quotient. ``odd``: nulls, not-a-number, empty boxes."""
+    odd = [1.0, 4.0, 4.0, 25.0, -20.0, -25.0, -30.0, None, math.nan, math.inf]
+    draw = random.Random(5)
+    lines = [(1, 0, 33, 1, 4.0, 0.0), (1, 9, 55, 2, 4.0, 0.05)]
+    if kind == "odd":
+        lines = [(k // 8 if k // 8 % 9 else None, draw.choice([0, 9, 3, 6, 51, None]), draw.choice([33, 55, 0, None]), k, draw.choice(odd), draw.choice([0.0, 0.05, None, math.nan])) for k in range(4000)]
+    names = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount")
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
+    columns = {n: pa.array(v, t) for n, v, t in zip(names, zip(*lines, strict=True), kinds, strict=True)}
+    pq.write_table(pa.table(columns | {"l_extendedprice": pa.array([1.0] * len(lines))}), tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = rows_of(registry.QUERIES["top_nms"](spark, str(tmp_path)).toArrow().to_pandas())
+    assert got == rows_of(con.sql(registry.SQL["top_nms"]).to_arrow_table().to_pandas())
+
+
 @pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
 def test_entry_without_the_removable_parts(tmp_path, gone):
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
